@@ -1,7 +1,60 @@
-"""Placeholder of the corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: language ID, exact dedup, near-duplicate join, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's docs. All but
+the last return the columns of documents. Nulls, empty texts, repeated rows and empty tables are treated as each
+operator's docstring says; extra columns go along to the last stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerlark.llm import exact_dedup, jaccard_join, language_id, mixing, packing
+from ledgerlark.llm.common import materialise
+from ledgerlark.llm.queries import make_encoder
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can't be told (null text or no letter) go."""
+    return language_id.drop_unidentified(docs)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest doc_id stays."""
+    return exact_dedup.drop_exact_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked at a Jaccard similarity of 0.8 of five-word shingles the document with the smallest doc_id stays."""
+    return jaccard_join.drop_near_copies(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are mixed to their target weights: a document is left out, stays, or is repeated."""
+    return mixing.apply_mix(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents become pieces in sequences of 2048 tokens."""
+    pieces = packing.pack(docs, make_encoder)
+    return pieces.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_copies),
+    ("ngram_jaccard", drop_near_copies),
+    ("mix_sources", mix),
+    ("best_fit_packing", pack),
+]
+
+#: SQL can't express the classifier, the sampling and the packing; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: At most this many keys can hold more than 1/HEAVY_KEYS of the rows, so a table of them has a proven size bound.
 HEAVY_KEYS = 256
+#: At most this many ids are sent to every task (16 MB); beyond it, rows are not filtered ahead of the join.
+SENT_IDS = 2_000_000
 
 M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -109,3 +111,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def column_or_null(df: DataFrame, name: str, kind: str):
     """The named column as ``kind``; a typed null where the frame has none."""
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` joined with their group (inner); groups has one row a key and its number of rows in ``size``.
+
+    Keys with more than 1/HEAVY_KEYS of ``total`` rows, HEAVY_KEYS at most, are broadcast; the others are shuffled.
+    """
+    heavy = F.broadcast(groups.where(F.col(size) * HEAVY_KEYS > F.lit(total)))
+    hot = rows.join(heavy, key)
+    cold = rows.join(heavy.select(key), key, "left_anti").join(groups.where(F.col(size) * HEAVY_KEYS <= F.lit(total)), key)
+    return hot.unionByName(cold.select(*hot.columns))
+
+
+def in_bounded_set(ids: DataFrame, most: int) -> np.ndarray | None:
+    """The sorted distinct longs of a one-column frame if there are at most ``most``, else None."""
+    got = ids.distinct().limit(most + 1).toPandas().iloc[:, 0].to_numpy(np.int64)
+    return np.sort(got) if len(got) <= most else None
+
+
+def only_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id is among ``ids`` (one column), or null, ahead of a join with these; all rows if they are too many to send."""
+    few = in_bounded_set(ids.where(F.col(ids.columns[0]).isNotNull()), SENT_IDS)
+    if few is None:
+        return rows
+    sent = rows.sparkSession.sparkContext.broadcast(few)
+
+    @F.pandas_udf("boolean")
+    def member(own: pd.Series) -> pd.Series:
+        own = own.to_numpy(np.int64)
+        at = np.minimum(np.searchsorted(sent.value, own), max(0, len(sent.value) - 1))
+        return pd.Series(sent.value[at] == own if len(sent.value) else np.zeros(len(own), dtype=bool))
+
+    return rows.where(member(F.coalesce("doc_id", F.lit(-(2**63)))) | F.col("doc_id").isNull())

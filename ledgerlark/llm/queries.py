@@ -7,7 +7,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, topk, url_filter
+from . import exact_dedup, jaccard_join, language_id, mixing, packing, passages, suffix_dedup, topk, toxicity, url_filter
 from .common import table
 
 BLOCKED = [("net", "/"), ("example.com", "/de/")]
@@ -30,6 +30,10 @@ def op1_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"), size=4, num=85)
+
+
 def op3_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), make_encoder)
     return pieces.select(
@@ -41,16 +45,48 @@ def op4_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    model = language_id.learn(docs, fold != 2)
+    out = language_id.predict(docs.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "text"), model, ["doc_id", "held_out"])
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"), fold != 0)
+    out = toxicity.score(docs.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "text"), lexicon, ["doc_id", "held_out"])
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
+def op8_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), BLOCKED, ALLOWED)
 
 
-QUERIES = {f.__name__: f for f in (op1_cube_mix, op3_bin_completion, op4_kdtree_topk, op6_exact_dedup, op9_url_rules)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    kept = F.lower(F.coalesce(F.sha2("kept", 256), F.hex("digest"))).alias("kept_sha256")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", kept)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_cube_mix, op2_jaccard_join, op3_bin_completion, op4_kdtree_topk, op5_language_id, op6_exact_dedup, op7_toxicity,
+        op8_shared_passages, op9_url_rules, op10_suffix_dedup,
+    )
+}
 
 ORACLE_SQL = {
     "op4_kdtree_topk": """
