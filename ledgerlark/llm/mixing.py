@@ -6,15 +6,15 @@ through the probabilities of a source with a window of three documents: it moves
 balancing constraints (token total and document total), up or down with the odds that keep every expectation, until one
 reaches 0 or 1 and the next document takes its place. So both totals are kept exactly during flight. At most two documents
 of a block stay fractional; they are flown again with those of other blocks, and only the last two of a source are left for
-landing, where the outcome nearest the expected totals is taken.
+landing, where the outcome nearest the expected totals is taken. Long documents fly first, so those left to land are short.
 
 Scale. Only (doc_id, source, size) rows move. Blocks of about BLOCK documents are dealt by a hash of doc_id, so a source with a
 third of all rows is many blocks; each round leaves two documents of a block, and rounds go on until a source is one block.
 Per-source totals are collected to the driver, at most MAX_SOURCES of them (a ValueError beyond).
 
 Defined cases. Null text has size 0, and so has text without words; such documents take part in the document total and
-take nothing. A null source is a source, the last in order. Rows that repeat are separate units. Ties are ordered by a hash
-of doc_id, then doc_id, then size. An empty table gives an empty result. Reruns agree: the draws are seeded by ``seed``,
+take nothing. A null source is a source, the last in order. Rows that repeat are separate units. Documents of one size are ordered
+by a hash of doc_id, then doc_id. An empty table gives an empty result. Reruns agree: the draws are seeded by ``seed``,
 the source and the block, and neither depends on partitioning.
 """
 
@@ -106,7 +106,7 @@ def land(size: np.ndarray, pi: np.ndarray) -> np.ndarray:
 
 def _flight(seed: int, names: list[str], last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "doc_id", "size"], kind="stable", ignore_index=True)
+        pdf = pdf.sort_values(["size", "h", "doc_id"], ascending=[False, True, True], kind="stable", ignore_index=True)
         src, block = int(pdf["src"].iloc[0]), int(pdf["block"].iloc[0])
         rng = np.random.Generator(np.random.PCG64([seed, zlib.crc32(names[src].encode()), block, int(pdf["round"].iloc[0])]))
         size = pdf["size"].to_numpy()
