@@ -92,15 +92,28 @@ def fly(size: np.ndarray, pi: np.ndarray, draws: np.ndarray) -> np.ndarray:
     return np.array(pi)
 
 
-def land(size: np.ndarray, pi: np.ndarray) -> np.ndarray:
-    """The outcome of the last (at most two) fractional documents that is nearest the expected token total, then document total."""
+def land(size: np.ndarray, pi: np.ndarray, want: float) -> np.ndarray:
+    """The outcome of the last (at most two) fractional documents that is nearest ``want`` tokens, then the document total.
+
+    What that misses is made up by the best exchange of a document of the block that is in for one that is out, if it helps.
+    """
     open_ = np.flatnonzero((pi > 0) & (pi < 1))
+    closed = float((size * np.where((pi > 0) & (pi < 1), 0, pi)).sum())
     best = min(
         (tuple((m >> j) & 1 for j in range(len(open_))) for m in range(1 << len(open_))),
-        key=lambda o: (round(abs(float((size[open_] * (np.array(o) - pi[open_])).sum())), 6), abs(float((np.array(o) - pi[open_]).sum())), o),
+        key=lambda o: (round(abs(closed + float((size[open_] * np.array(o)).sum()) - want), 6), abs(float((np.array(o) - pi[open_]).sum())), o),
     )
     out = pi.copy()
     out[open_] = best
+    over = float((size * out).sum()) - want
+    inside, outside = np.flatnonzero(out == 1), np.flatnonzero(out == 0)
+    if len(inside) and len(outside):
+        outside = outside[np.argsort(size[outside], kind="stable")]
+        near = np.searchsorted(size[outside], size[inside] - over)
+        choices = [(abs(over - size[i] + size[outside[k]]), i, outside[k]) for i, n in zip(inside, near, strict=True) for k in (n - 1, n) if 0 <= k < len(outside)]
+        left, i, j = min(choices, default=(np.inf, 0, 0))
+        if left < abs(over):
+            out[i], out[j] = 0.0, 1.0
     return out
 
 
@@ -110,9 +123,10 @@ def _flight(seed: int, names: list[str], last: bool):
         src, block = int(pdf["src"].iloc[0]), int(pdf["block"].iloc[0])
         rng = np.random.Generator(np.random.PCG64([seed, zlib.crc32(names[src].encode()), block, int(pdf["round"].iloc[0])]))
         size = pdf["size"].to_numpy()
-        pi = fly(size, pdf["pi"].to_numpy(), rng.random(2 * len(pdf) + 8))
+        before = pdf["pi"].to_numpy()
+        pi = fly(size, before, rng.random(2 * len(pdf) + 8))
         if last:
-            pi = land(size, pi)
+            pi = land(size, pi, float((size * before).sum()))
         return pdf[["doc_id", "src", "size", "copies"]].assign(pi=pi)[["doc_id", "src", "size", "pi", "copies"]]
 
     return run
