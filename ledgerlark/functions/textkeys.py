@@ -308,9 +308,9 @@ def field_confidence(a: Column, b: Column) -> Column:
     )
 
 
-def weighted(parts: dict[Column, float]) -> Column:
+def weighted(parts: list[tuple[Column, float]]) -> Column:
     """Weighted mean of confidences; weights needn't sum to one."""
-    return reduce(lambda x, y: x + y, [c * F.lit(w) for c, w in parts.items()]) / F.lit(sum(parts.values()))
+    return reduce(lambda x, y: x + y, [c * F.lit(w) for c, w in parts]) / F.lit(sum(w for _, w in parts))
 
 
 def rewrite(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:

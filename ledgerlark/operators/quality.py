@@ -140,5 +140,5 @@ def spot_check(original: DataFrame, rescan: DataFrame, key: str, texts: dict[str
     met = original.join(other, key)
     parts = {c: T.char_overlap(F.col(c).cast("string"), F.col(f"__{c}").cast("string")) for c in texts} | {c: T.field_confidence(F.col(c), F.col(f"__{c}")) for c in numbers}
     named = met.withColumns({f"{c}_confidence": v for c, v in parts.items()})
-    weights = {F.col(f"{c}_confidence"): w for c, w in (texts | numbers).items()}
+    weights = [(F.col(f"{c}_confidence"), w) for c, w in (texts | numbers).items()]
     return named.withColumn("confidence", T.weighted(weights)).select(key, *[f"{c}_confidence" for c in parts], "confidence")

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def islands(df: DataFrame, by: list[str], order: list[str], breaks: Column, name: str = "island") -> DataFrame:
@@ -127,7 +128,7 @@ def text_rows(df: DataFrame, by: list[str], x: str, y: str, gap: float = 5.0) ->
             rows.append(row)
         return pdf.assign(text_row=rows)
 
-    return df.groupBy(*by).applyInPandas(run, df.schema.add("text_row", "int"))
+    return df.groupBy(*by).applyInPandas(run, StructType([*df.schema.fields, StructField("text_row", IntegerType())]))
 
 
 def fold_continuations(df: DataFrame, by: list[str], order: list[str], starts: Column, text: str) -> DataFrame:
