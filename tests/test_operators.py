@@ -118,7 +118,7 @@ def test_duplicates_by_tier(spark):
     strong = {r["id"]: (r["cluster"], r["tier"], r["confidence"]) for r in resolve.clusters(links).collect()}
     assert strong[2] == strong[3] == (1, 1, 100) and strong[5][0] == strong[6][0] == 5
     part, counts = resolve.tier_counts(resolve.clusters(links), 1)
-    assert part.count() == 4
+    assert part.count() == 3
     assert sum(r["clusters"] for r in counts.collect()) == 2
 
 
