@@ -212,4 +212,4 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     if docs.count() > groups.count():
         docs = docs.dropDuplicates(["doc_id", "text"])
     dropped = groups.where("NOT kept").select(F.col("doc_id").alias("__dropped"))
-    return docs.join(dropped, docs["doc_id"].cast("long").eqNullSafe(F.col("__dropped")), "left_anti")
+    return docs.join(dropped, docs["doc_id"].cast("long").eqNullSafe(dropped["__dropped"]), "left_anti")

@@ -20,6 +20,7 @@ the source and the block, and neither depends on partitioning.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from fractions import Fraction
 
@@ -180,6 +181,7 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
 
     doc_id must tell documents apart here; rows that repeat one are taken as often as the first of them in order of copies.
     """
-    mix = mix_sources(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("__copies")).withColumnRenamed("doc_id", "__doc")
-    kept = docs.join(mix.where("__copies > 0"), docs["doc_id"].cast("long").eqNullSafe(F.col("__doc")))
-    return kept.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*[kept[f"`{c}`"] for c in docs.columns])
+    times, doc, turn = (f"{n}_{uuid.uuid4().hex}" for n in ("times", "doc", "turn"))  # no column of docs has these names
+    mix = mix_sources(docs, **options).groupBy(F.col("doc_id").alias(doc)).agg(F.max("copies").alias(times)).where(f"{times} > 0")
+    kept = docs.join(mix, docs["doc_id"].cast("long").eqNullSafe(F.col(doc))).withColumn(turn, F.explode(F.sequence(F.lit(1), times)))
+    return kept.drop(times, doc, turn)
