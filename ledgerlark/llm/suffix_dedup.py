@@ -162,33 +162,51 @@ def two_stage(texts: list[bytes], starts: list[int], depth: int) -> tuple[np.nda
     return text[mine], position[mine]
 
 
-def adjacent_prefixes(texts: list[bytes], text: np.ndarray, position: np.ndarray, depth: int) -> np.ndarray:
-    """Common prefix of each suffix with the one before it in order, up to ``depth``; the first has 0."""
-    begin = np.concatenate([[0], np.cumsum([len(t) for t in texts])[:-1]])
-    data = np.frombuffer(b"".join(texts) + bytes(8), dtype=np.uint8)
-    words = np.lib.stride_tricks.sliding_window_view(data, 8)
-    at = begin[text] + position
-    out = np.zeros(len(at), dtype=np.int64)
-    open_ = np.arange(1, len(at))
-    left = np.array([len(t) for t in texts])[text] - position if len(at) else out
-    for k in range(0, depth, 8):
-        open_ = open_[(left[open_] >= k + 8) & (left[open_ - 1] >= k + 8)] if depth - k >= 8 else open_
-        same = words[at[open_] + k] == words[at[open_ - 1] + k]
-        whole = same.all(axis=1)
-        part = np.where(whole, 8, same.argmin(axis=1))
-        out[open_] = np.minimum(k + part, depth)
-        open_ = open_[whole]
+def neighbours_share(texts: list[bytes], text: np.ndarray, position: np.ndarray, depth: int) -> np.ndarray:
+    """Of suffixes in order: whether the common prefix with the one before has ``depth`` bytes, compared byte for byte."""
+    out = np.zeros(len(text), dtype=bool)
+    before = None
+    for k, (t, i) in enumerate(zip(text.tolist(), position.tolist(), strict=True)):
+        own = texts[t][i : i + depth]
+        out[k] = own == before
+        before = own
     return out
 
 
+def distinct_texts(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct ones, the number of each text's, and how often each occurs."""
+    known: dict[bytes, int] = {}
+    number = np.array([known.setdefault(t, len(known)) for t in texts], dtype=np.int64)
+    return list(known), number, np.bincount(number, minlength=len(known))
+
+
+def starts_of(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Row and position of every string start of the contexts, one context after the other."""
+    m = pdf["m"].to_numpy(np.int64)
+    return np.repeat(np.arange(len(pdf)), m), np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+
+
+def per_row(number: np.ndarray, m: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """Flags of the string starts of distinct contexts, one context after the other, given to each row that holds the context."""
+    first = np.concatenate([[0], np.cumsum(m)])
+    parts = [flags[first[k] : first[k + 1]] for k in number]
+    return np.concatenate(parts) if parts else flags[:0]
+
+
 def _block(length: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Repeats among the contexts of one block, as spans of their documents."""
-        texts, starts = list(pdf["bytes"]), pdf["m"].tolist()
-        text, position = two_stage(texts, starts, length)
-        again = adjacent_prefixes(texts, text, position, length) >= length
+        """Repeats among the contexts of one block, as spans of their documents. Equal contexts repeat each other whole and are
+        sorted once."""
+        texts, number, times = distinct_texts(list(pdf["bytes"]))
+        m = np.array([len(t) - length + 1 for t in texts])
+        text, position = two_stage(texts, m.tolist(), length)
+        again = neighbours_share(texts, text, position, length)
         again[:-1] |= again[1:]
-        return spans_of(pdf, text[again], position[again], length)
+        flags = np.repeat(times > 1, m)
+        flags[(np.cumsum(m) - m)[text[again]] + position[again]] = True
+        hit = per_row(number, m, flags)
+        row, at = starts_of(pdf)
+        return spans_of(pdf, row[hit], at[hit], length)
 
     return run
 
@@ -208,12 +226,12 @@ def spans_of(pdf: pd.DataFrame, text: np.ndarray, position: np.ndarray, length:
     })
 
 
-def _hashes(pdf: pd.DataFrame, length: int) -> np.ndarray:
+def _hashes(texts: list[bytes], length: int) -> np.ndarray:
     """(strings, 2): 128-bit hashes of the strings of the contexts, one context after the other."""
     parts = [np.zeros((0, 2), np.uint64)]
-    for b, m in zip(pdf["bytes"], pdf["m"], strict=True):
+    for b in texts:
         data = np.frombuffer(b, dtype=np.uint8)
-        parts.append(np.stack([rolling(data, length, 1)[:m], rolling(data, length, 2)[:m]], axis=1))
+        parts.append(np.stack([rolling(data, length, 1), rolling(data, length, 2)], axis=1))
     return np.concatenate(parts)
 
 
@@ -228,7 +246,9 @@ def _distinct(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _hot_slices(length: int, ranges: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        values, _, counts = _distinct(_hashes(pdf, length))
+        texts, _, times = distinct_texts(list(pdf["bytes"]))
+        values, number, _ = _distinct(_hashes(texts, length))
+        counts = np.bincount(number, weights=np.repeat(times, [len(t) - length + 1 for t in texts]), minlength=len(values))
         cuts = np.searchsorted(values[:, 0].astype(np.float64), np.arange(1, ranges) * 2.0**64 / ranges)
         rows = zip(np.split(values, cuts), np.split(counts.astype(np.int64), cuts), strict=True)
         chunk = int(pdf["chunk"].iloc[0])
@@ -249,12 +269,11 @@ def _hot_again(pdf: pd.DataFrame) -> pd.DataFrame:
 def _hot_spans(length: int):
     def run(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         again = np.frombuffer(b"".join(told.sort_values("range")["again"]), dtype=bool)
-        _, number, _ = _distinct(_hashes(pdf, length))
-        m = pdf["m"].to_numpy(np.int64)
-        text = np.repeat(np.arange(len(pdf)), m)
-        position = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-        hit = again[number]
-        return spans_of(pdf, text[hit], position[hit], length)
+        texts, which, _ = distinct_texts(list(pdf["bytes"]))
+        _, number, _ = _distinct(_hashes(texts, length))
+        hit = per_row(which, np.array([len(t) - length + 1 for t in texts]), again[number])
+        row, at = starts_of(pdf)
+        return spans_of(pdf, row[hit], at[hit], length)
 
     return run
 
@@ -316,18 +335,22 @@ def _explode(length: int):
 
 def _contexts(length: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunk, room = TaskContext.get().partitionId() << 32, CHUNK_BYTES
+        chunk, room, rows = TaskContext.get().partitionId() << 32, CHUNK_BYTES, []
         for pdf in batches:
-            for digest, rep, text, anchors in zip(pdf["digest"], pdf["rep"].astype("Int64"), pdf["text"], pdf["anchors"], strict=True):
+            for digest, rep, text, *anchors in zip(pdf["digest"], pdf["rep"].astype("Int64"), pdf["text"], *(pdf[c] for c in ("h", "hot", "lo", "m")), strict=True):
                 data = (text or "").encode("utf-8", "replace")
-                rows = []
-                for x in anchors:
-                    rows.append((digest, rep, x["h"], x["hot"], chunk, x["lo"], x["m"], data[x["lo"] : x["lo"] + x["m"] - 1 + length]))
-                    room -= len(rows[-1][-1]) + 64
+                for h, hot, lo, m in zip(*(x.tolist() for x in anchors), strict=True):
+                    part = data[lo : lo + m - 1 + length]
+                    rows.append((digest, rep, h, hot, chunk, lo, m, part))
+                    room -= len(part) + 64
                     if room < 0:
-                        chunk, room = chunk + 1, CHUNK_BYTES
-                out = pd.DataFrame(rows, columns=["digest", "rep", "h", "hot", "chunk", "lo", "m", "bytes"])
-                yield out.assign(rep=out["rep"].astype("Int64"))
+                        yield frame(rows)
+                        chunk, room, rows = chunk + 1, CHUNK_BYTES, []
+        yield frame(rows)
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["digest", "rep", "h", "hot", "chunk", "lo", "m", "bytes"])
+        return out.assign(rep=out["rep"].astype("Int64"))
 
     return run
 
@@ -349,19 +372,22 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
         _explode(length), "h long, digest binary, rep long, lo long, m int"
     )
     places = materialise(places, "places", "zstd")
-    twice = places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("hot"))
-    own = places.join(twice, "h").groupBy("digest", "rep").agg(F.collect_list(F.struct("h", "hot", "lo", "m")).alias("anchors"))
+    twice = places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "n", (F.col("n") > HOT).alias("hot"))
+    twice = materialise(twice, "hashes", "zstd")
+    met = join_groups(places, twice, "h", "n", places.count())
+    own = met.groupBy("digest", "rep").agg(F.collect_list(F.struct("h", "hot", "lo", "m")).alias("anchors"))
     own = materialise(own, "twice", "zstd")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = only_ids(texts, own.select("rep")).withColumn("own", F.unhex(F.sha2("text", 256)))
     met = own.join(texts, F.col("rep").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("digest"))).dropDuplicates(["digest"])
-    contexts = materialise(met.select("digest", "rep", "text", "anchors").mapInPandas(_contexts(length), CONTEXTS), "contexts", "zstd")
+    contexts = materialise(met.select("digest", "rep", "text", "anchors.h", "anchors.hot", "anchors.lo", "anchors.m").mapInPandas(_contexts(length), CONTEXTS), "contexts", "zstd")
 
     light = contexts.where("NOT hot")
     blocks = max(shuffle_partitions(spark), -(-light.count() // BLOCK_CONTEXTS))
     dealt = light.withColumn("block", F.pmod(F.xxhash64("h"), F.lit(blocks))).select("block", "digest", "rep", "lo", "m", "bytes")
-    spans = dealt.groupBy("block").applyInPandas(_block(length), SPANS)
-    hot = contexts.where("hot").select("chunk", "digest", "rep", "lo", "m", "bytes")
+    parts = max(shuffle_partitions(spark), blocks // 8)  # of their own number: small in bytes, but long to sort
+    spans = dealt.repartition(parts, "block").groupBy("block").applyInPandas(_block(length), SPANS)
+    hot = contexts.where("hot").select("chunk", "digest", "rep", "lo", "m", "bytes").repartition(shuffle_partitions(spark), "chunk")
     strings = hot.agg(F.coalesce(F.sum("m"), F.lit(0))).collect()[0][0]
     if strings:
         ranges = max(shuffle_partitions(spark), -(-int(strings) // RANGE_STRINGS))
