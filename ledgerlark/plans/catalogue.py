@@ -584,3 +584,132 @@ SELECT doc_id, position::INT AS position, md5(block) AS block FROM l
 def split_records(spark, folder):
     parts = readers.split_records(t(spark, folder, "documents"), "text", r"\. ", r"\. ", 1)
     return parts.select("doc_id", "position", F.md5("block").alias("block"))
+
+
+# ------------------------------------------------------------------ audits, pages, edits
+@register("""
+WITH r AS (SELECT o_custkey, o_orderkey % 40 AS s, o_totalprice / 400000.0 AS c, o_orderstatus = 'P' AS w FROM orders),
+t AS (SELECT o_custkey, count(*) AS total, coalesce(min(CASE WHEN s > 0 THEN s END), 0) AS least, coalesce(max(CASE WHEN s > 0 THEN s END), 0) AS greatest,
+  count(*) FILTER (c < 0.9) AS low_confidence, count(*) FILTER (w) AS warned, count(DISTINCT CASE WHEN s > 0 THEN s END) AS u FROM r GROUP BY 1)
+SELECT o_custkey, total, least, greatest, low_confidence, warned, CASE WHEN u = 0 THEN 0 ELSE greatest - least + 1 - u END AS missing_count FROM t
+""")
+def audit_metrics(spark, folder):
+    rows = t(spark, folder, "orders").select("o_custkey", (F.col("o_orderkey") % 40).alias("s"), (F.col("o_totalprice") / 400000.0).alias("c"), (F.col("o_orderstatus") == "P").alias("w"))
+    return quality.audit(rows, ["o_custkey"], "s", "c", "w").drop("missing")
+
+
+@register("""
+WITH b AS (SELECT p_partkey, p_size AS x, CASE WHEN p_partkey % 4 = 0 THEN p_size + 3 WHEN p_partkey % 4 = 1 THEN NULL ELSE p_size END AS y FROM part)
+SELECT p_partkey, CASE WHEN y IS NULL THEN 0.3 WHEN y = x THEN 1.0 ELSE 1.0 - 3 * 0.05::DOUBLE END::DOUBLE AS size_confidence FROM b
+""")
+def number_agreement(spark, folder):
+    part = t(spark, folder, "part")
+    again = F.when(F.col("p_partkey") % 4 == 0, F.col("p_size") + 3).when(F.col("p_partkey") % 4 == 1, F.lit(None)).otherwise(F.col("p_size"))
+    return part.select("p_partkey", T.field_confidence(F.col("p_size"), again).alias("size_confidence"))
+
+
+@register("""
+WITH e AS (SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 'DELETE' WHEN c_custkey % 7 = 0 THEN 'UPDATE' END AS action FROM customer)
+SELECT c.c_custkey, c.c_name, CASE WHEN e.action = 'UPDATE' THEN 'EDITED' ELSE c_mktsegment END AS c_mktsegment FROM customer c JOIN e ON c.c_custkey = e.c_custkey WHERE e.action IS DISTINCT FROM 'DELETE'
+UNION ALL SELECT 99999999, 'added', 'NEW'
+""")
+def pending_edit_apply(spark, folder):
+    rows = t(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    first = rows.where("c_custkey % 7 = 0").select(F.col("c_custkey").alias("target_id"), F.lit("UPDATE").alias("action"), F.col("c_custkey").alias("edit_id"), F.create_map(F.lit("c_mktsegment"), F.lit("EDITED")).alias("proposed"))
+    then = rows.where("c_custkey % 11 = 0").select(F.col("c_custkey").alias("target_id"), F.lit("DELETE").alias("action"), (F.col("c_custkey") + 10_000_000).alias("edit_id"), F.create_map(F.lit("c_mktsegment"), F.lit("x")).alias("proposed"))
+    add = spark.createDataFrame([(None, "ADD", 1, {"c_custkey": "99999999", "c_name": "added", "c_mktsegment": "NEW"})], "target_id long, action string, edit_id long, proposed map<string,string>")
+    edits = first.unionByName(then).unionByName(add).withColumn("status", F.lit("approved"))
+    return dml.apply_pending(rows, edits, "c_custkey", ["c_name", "c_mktsegment"])
+
+
+@register("""
+SELECT l_orderkey, l_linenumber, l_partkey, CAST(least(greatest(floor((l_quantity - 0.0) / (50.0 / 10)), 0), 9) * 3 + least(greatest(floor((l_linenumber * 10.0 - 0.0) / (80.0 / 3)), 0), 2) AS INTEGER) AS cell FROM lineitem
+""")
+def page_grid_cells(spark, folder):
+    words = t(spark, folder, "lineitem").withColumns({"x0": F.col("l_linenumber") * 10.0, "y0": F.col("l_quantity")})
+    return readers.grid_cells(words, 3, 10, F.lit(80.0), F.lit(50.0)).select("l_orderkey", "l_linenumber", "l_partkey", "cell")
+
+
+@register("""
+WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_quantity >= 17.5)::INT + (l_quantity >= 34)::INT AS c FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, c ORDER BY l_linenumber, l_partkey * 1000000 + l_suppkey) AS n FROM b)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(c AS INTEGER) AS "column", CAST(n AS INTEGER) AS "row" FROM r
+""")
+def column_reading_order(spark, folder):
+    blocks = t(spark, folder, "lineitem").withColumns({"c": F.col("l_quantity"), "q": F.col("l_linenumber"), "k": F.col("l_partkey") * 1000000 + F.col("l_suppkey")})
+    col = F.when(F.col("c") >= 17.5, 1).otherwise(0) + F.when(F.col("c") >= 34, 1).otherwise(0)
+    row = F.row_number().over(Window.partitionBy("l_orderkey", "column").orderBy("q", "k"))
+    return blocks.withColumn("column", col).withColumn("row", row).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "column", "row")
+
+
+@register("""
+WITH p AS (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents)
+SELECT source, count(*) FILTER (n_chars > 600) * 2 >= count(*) AS digital, count(*) FILTER (n_chars > 600) AS text_pages FROM p WHERE k <= 10 GROUP BY 1
+""")
+def digital_majority(spark, folder):
+    pages = t(spark, folder, "documents").select("source", F.col("doc_id").alias("page"), "n_chars")
+    return readers.is_digital(pages, ["source"], "n_chars", 10, 600)
+
+
+@register("""
+WITH v AS (SELECT l_orderkey, l_linenumber - 1 AS c, l_linenumber - 1 + 100 + CASE WHEN l_partkey % 3 = 0 THEN l_partkey % 5 ELSE 0 END AS printed FROM lineitem),
+p AS (SELECT l_orderkey, printed - c AS p, count(*) AS n, min(c) AS c FROM v GROUP BY 1, 2),
+b AS (SELECT l_orderkey, first(p ORDER BY n DESC, p) FILTER (n >= 2) AS agreed, max(CASE WHEN c = 0 THEN p END) AS zero FROM p GROUP BY 1)
+SELECT l_orderkey, CAST(coalesce(agreed, CASE WHEN abs(zero - 100) <= 6 THEN zero END, 100) AS BIGINT) AS start FROM b
+""")
+def start_serial_consensus(spark, folder):
+    odd = F.when(F.col("l_partkey") % 3 == 0, F.col("l_partkey") % 5).otherwise(0)
+    votes = t(spark, folder, "lineitem").select("l_orderkey", (F.col("l_linenumber") - 1).alias("c"), (F.col("l_linenumber") + 99 + odd).alias("printed"))
+    return S.start_consensus(votes, ["l_orderkey"], "c", "printed", F.lit(100))
+
+
+@register("""
+SELECT page_id, coalesce(nullif(trim(regexp_extract(url, '[?&]ref=([^&#]+)', 1)), ''), nullif(trim(regexp_extract(url, '/(\\d+)\\.html', 1)), ''), nullif(trim(regexp_extract(url, '/([a-z]{2})/', 1)), '')) AS meta FROM pages
+""")
+def header_first_match(spark, folder):
+    patterns = [r"[?&]ref=([^&#]+)", r"/(\d+)\.html", r"/([a-z]{2})/"]
+    return t(spark, folder, "pages").select("page_id", readers.first_match(F.col("url"), patterns).alias("meta"))
+
+
+@register("""
+WITH i AS (SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN 'ABC' || lpad(CAST(s_suppkey AS VARCHAR), 7, '0') WHEN 1 THEN 'UP/9/42/' || CAST(s_suppkey + 1000 AS VARCHAR) WHEN 2 THEN 'AB' WHEN 3 THEN '' WHEN 4 THEN 'AB#1234567' ELSE 'ABCD1234567' END AS c FROM supplier)
+SELECT s_suppkey, CASE WHEN c = '' THEN 'MISSING' WHEN contains(c, '/') THEN 'LEGACY_VALID' WHEN contains(c, '#') THEN 'NOISE_SYMBOLS' WHEN length(c) < 10 THEN 'TOO_SHORT' WHEN length(c) > 10 THEN 'TOO_LONG' ELSE 'STANDARD_VALID' END AS kind FROM i
+""")
+def id_format_defects(spark, folder):
+    k = F.col("s_suppkey") % 6
+    code = F.when(k == 0, F.concat(F.lit("ABC"), F.lpad(F.col("s_suppkey").cast("string"), 7, "0"))).when(k == 1, F.concat(F.lit("UP/9/42/"), (F.col("s_suppkey") + 1000).cast("string")))
+    code = code.when(k == 2, "AB").when(k == 3, "").when(k == 4, "AB#1234567").otherwise("ABCD1234567")
+    return t(spark, folder, "supplier").select("s_suppkey", T.id_defect(code)["type"].alias("kind"))
+
+
+@register("""
+SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\\r\\n\\t]+', ' ', 'g'), '^[\\s:\\-–—.*|]+', ''), '[\\s:\\-–—.*|]+$', ''), '\\s+', ' ', 'g'))) AS clean FROM documents
+""")
+def clean_text_edges(spark, folder):
+    return t(spark, folder, "documents").select("doc_id", F.md5(T.clean_text(F.col("text"))).alias("clean"))
+
+
+@register("""
+WITH o AS (SELECT l_orderkey, l_linenumber, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos FROM lineitem),
+i AS (SELECT *, sum((l_quantity > 20)::INT) OVER (PARTITION BY l_orderkey ORDER BY pos) AS record FROM o)
+SELECT l_orderkey, CAST(record AS BIGINT) AS record, count(*) AS rows, string_agg(CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), ' ' ORDER BY pos) AS q FROM i WHERE record > 0 GROUP BY 1, 2
+""")
+def continuation_rows(spark, folder):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    rows = t(spark, folder, "lineitem").withColumn("pos", F.row_number().over(w)).withColumn("q", F.col("l_quantity").cast("long").cast("string"))
+    return S.fold_continuations(rows.select("l_orderkey", "pos", "l_quantity", "q"), ["l_orderkey"], ["pos"], F.col("l_quantity") > 20, "q")
+
+
+@register("SELECT c_custkey, concat_ws('_', c_nationkey, c_custkey) AS link FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def link_keys(spark, folder):
+    mine = joins.existing(t(spark, folder, "customer"), t(spark, folder, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return mine.select("c_custkey", dml.link_key(F.col("c_nationkey"), F.col("c_custkey")).alias("link"))
+
+
+@register()
+def fuzzy_name_matches(spark, folder):
+    """Sequence similarity of blocked pairs (T20-T23): rows only, SQL has no such function."""
+    from ledgerlark.functions import matchers
+
+    pairs = joins.blocked_pairs(t(spark, folder, "nation"), "n_name", ["n_regionkey"], [], F.lit(True))
+    return pairs.select(F.col("x_n_name").alias("a"), F.col("y_n_name").alias("b")).withColumn("similarity", matchers.similarity_udf("a", "b")).where("similarity >= 0.5")
