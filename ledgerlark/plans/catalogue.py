@@ -402,9 +402,9 @@ def running_header(spark, folder):
 
 
 @register("""
-WITH s AS (SELECT o_custkey, o_orderkey, o_orderpriority AS house, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, o_orderpriority) AS pos FROM orders),
-k AS (SELECT *, lag(pos) OVER w AS pat, lag(o_orderkey) OVER w AS ps FROM s WHERE house <> '5-LOW' WINDOW w AS (PARTITION BY o_custkey, house ORDER BY pos)),
-n AS (SELECT *, CASE WHEN pos = pat + 1 OR o_orderkey - ps <= 2500 THEN 0 ELSE 1 END AS b FROM k)
+WITH s AS (SELECT o_custkey, o_orderkey, nullif(o_orderkey, 0) AS s, o_orderpriority AS house, row_number() OVER (PARTITION BY o_custkey ORDER BY coalesce(nullif(o_orderkey, 0), 999999), o_orderpriority) AS pos FROM orders),
+k AS (SELECT *, lag(pos) OVER w AS pat, last_value(s IGNORE NULLS) OVER (PARTITION BY o_custkey, house ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ps FROM s WHERE house <> '5-LOW' WINDOW w AS (PARTITION BY o_custkey, house ORDER BY pos)),
+n AS (SELECT *, CASE WHEN pos = pat + 1 OR s - ps <= 2500 THEN 0 ELSE 1 END AS b FROM k)
 SELECT o_custkey, o_orderkey, house, CAST(sum(b) OVER (PARTITION BY o_custkey, house ORDER BY pos) AS BIGINT) AS household FROM n
 UNION ALL SELECT o_custkey, o_orderkey, house, NULL FROM s WHERE house = '5-LOW'
 """)
