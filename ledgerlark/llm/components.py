@@ -54,8 +54,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     the shuffle.
     """
     edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    edges = materialise(edges.mapInPandas(_contract, "a long, b long").distinct(), "links")
-    mark = None
+    edges = materialise(edges.repartition("a").mapInPandas(_contract, "a long, b long").distinct(), "links")
+    mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

@@ -10,8 +10,11 @@ only one document has earn credit and are not indexed. The number of subclasses
 size; a set is indexed in its own band and in that of its largest possible partner, so two sets that can link meet in the
 larger one's band. Sets that share an indexed combination are verified on the whole sets.
 
-Order. A quarter of all tokens, by hash, come first in the order; only their document frequencies are counted (over all
-documents). A quarter is enough for prefixes at the thresholds allowed here (0.8 and more); sets where it falls short bring all their tokens.
+Order. Half of all tokens, by hash, come first in the order; only their document frequencies are counted (over all documents).
+Half is enough for prefixes at the thresholds allowed here (0.8 and more); sets where it falls short bring all their tokens. Sets
+that share an entry of this first index are indexed once more, now by all their tokens and their frequencies among these sets
+(a link joins two of them), which leaves out the many that share a long passage and little else. The index knows tokens by 32 bits; tokens that collide there are one to
+it, which can only add candidates: a set lacks no more of these than of whole tokens.
 
 Groups. Equal sets are one class from the start, with its smallest doc_id for all. An index entry with many sets doesn't
 emit its pairs: it names hubs, each other set is verified against these, and sets that are connected by then aren't compared
@@ -56,7 +59,7 @@ class WordHashes(dict):
     """64-bit hashes of words, kept."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -89,14 +92,21 @@ def subclasses(band: int) -> int:
     return 0 if band < 5 else max(1, int(0.04 * 2**band))
 
 
-def is_first(tokens: np.ndarray) -> np.ndarray:
-    return (tokens & np.uint64(3)) == 0
+def is_first(tokens: np.ndarray, every: bool = False) -> np.ndarray:
+    """Which tokens are counted and come first in the order; all of them in the second index."""
+    return np.ones(len(tokens), dtype=bool) if every else (tokens & np.uint32(1)) == 0
+
+
+def read_tokens(blob: bytes, every: bool) -> np.ndarray:
+    """The index's tokens of a set: as stored for the first index, by 32 bits from the whole set for the second."""
+    return np.unique((np.frombuffer(blob, dtype=np.uint64) >> np.uint64(32)).astype(np.uint32)) if every else np.frombuffer(blob, dtype=np.uint32)
 
 
 def index_tokens(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The tokens that a prefix can need: those first in the order if they are enough in any band, else all."""
-    first = tokens[is_first(tokens)]
+    """The tokens, by 32 bits, that a prefix can need: those first in the order if they are enough in any band, else all."""
     n = len(tokens)
+    tokens = np.unique((tokens >> np.uint64(32)).astype(np.uint32))
+    first = tokens[is_first(tokens)]
     most = (den * n // num).bit_length() - 1
     return first if len(first) >= n - least_overlap(n, num, den) + 1 + subclasses(most) else tokens
 
@@ -107,9 +117,10 @@ def frequency_class(counts: np.ndarray) -> np.ndarray:
 
 
 def signatures(tokens: np.ndarray, classes: np.ndarray, n: int, num: int, den: int) -> np.ndarray:
-    """The index entries of a set of ``n`` tokens. tokens: as index_tokens() gives them; classes: frequency class, 255 if not counted."""
-    order = np.lexsort((tokens, classes, ~is_first(tokens)))
-    tokens, classes = tokens[order], classes[order]
+    """The index entries of a set of ``n`` tokens. tokens: as index_tokens() gives them; classes: frequency class, 255 if not counted
+    (these come last in the order)."""
+    order = np.lexsort((tokens, classes))
+    tokens, classes = tokens[order].astype(np.uint64), classes[order]
     need = n - least_overlap(n, num, den) + 1
     often = int(frequency_class(np.array([FREQUENT]))[0])
     out = []
@@ -118,7 +129,7 @@ def signatures(tokens: np.ndarray, classes: np.ndarray, n: int, num: int, den: i
         frequent = (classes > often) & (classes < 255) if parts else np.zeros(len(tokens), dtype=bool)
         credit = np.ones(len(tokens), dtype=np.int64)
         at = np.flatnonzero(frequent)
-        sub = (tokens[at] >> np.uint64(17)) % np.uint64(max(1, parts))
+        sub = mix64(tokens[at], 9) % np.uint64(max(1, parts))
         if len(at):
             credit[at[np.unique(sub, return_index=True)[1]]] = 0
         end = int(np.searchsorted(np.cumsum(credit), need)) + 1
@@ -158,16 +169,15 @@ def make_sets(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, SETS)
 
 
-def chunk_tokens(blobs: pd.Series) -> np.ndarray:
-    """The upper halves of the counted tokens of a chunk, sorted and distinct."""
-    t = np.frombuffer(b"".join(blobs), dtype=np.uint64)
-    return np.unique((t[is_first(t)] >> np.uint64(32)).astype(np.uint32))
+def chunk_tokens(blobs: pd.Series, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The counted tokens of a chunk, sorted and distinct, and how many of its sets have each."""
+    t = np.concatenate([np.zeros(0, np.uint32), *(read_tokens(b, every) for b in blobs)])
+    return np.unique(t[is_first(t, every)], return_counts=True)
 
 
-def _slices(ranges: int):
+def _slices(ranges: int, every: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.frombuffer(b"".join(pdf["tokens"]), dtype=np.uint64)
-        values, counts = np.unique((t[is_first(t)] >> np.uint64(32)).astype(np.uint32), return_counts=True)
+        values, counts = chunk_tokens(pdf["tokens"], every)
         cuts = np.searchsorted(values, np.arange(1, ranges) * 2.0**32 / ranges)
         rows = zip(np.split(values, cuts), np.split(counts.astype(np.uint32), cuts), strict=True)
         chunk = int(pdf["chunk"].iloc[0])
@@ -186,21 +196,21 @@ def _frequencies(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": pdf["chunk"], "range": pdf["range"], "doc_id": None, "classes": [x.tobytes() for x in np.split(classes, ends)]})
 
 
-def _index(num: int, den: int):
+def _index(num: int, den: int, every: bool):
     def run(sets: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         """Entries of the sets of a chunk. told: frequency classes by range; and the documents whose set another one stands for."""
         own = told[told["range"] >= 0].sort_values("range")
-        values, classes = chunk_tokens(sets["tokens"]), np.frombuffer(b"".join(own["classes"]), dtype=np.uint8)
+        values, classes = chunk_tokens(sets["tokens"], every)[0], np.frombuffer(b"".join(own["classes"]), dtype=np.uint8)
         skip = set(told["doc_id"][told["range"] < 0].astype("int64"))
         sigs, docs, sizes = [], [], []
         for doc_id, n, blob in zip(sets["doc_id"], sets["n"], sets["tokens"], strict=True):
             if not n or doc_id in skip:
                 continue
             skip.add(doc_id)
-            t = np.frombuffer(blob, dtype=np.uint64)
+            t = read_tokens(blob, every)
             kind = np.full(len(t), 255, dtype=np.uint8)
-            first = is_first(t)
-            kind[first] = classes[np.searchsorted(values, (t[first] >> np.uint64(32)).astype(np.uint32))]
+            first = is_first(t, every)
+            kind[first] = classes[np.searchsorted(values, t[first])]
             s = signatures(t, kind, int(n), num, den)
             sigs.append(s)
             docs.append(np.full(len(s), doc_id, dtype=np.int64))
@@ -215,14 +225,20 @@ def _index(num: int, den: int):
 def _whole_sets(size: int, wanted):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = wanted.value if wanted is not None else None
+        chunk, room, docs, sets = TaskContext.get().partitionId() << 32, CHUNK_BYTES, [], []
         for pdf in batches:
             if ids is not None:
                 own = pdf["doc_id"].to_numpy(np.int64)
                 at = np.minimum(np.searchsorted(ids, own), max(0, len(ids) - 1))
                 pdf = pdf[(ids[at] == own) if len(ids) else np.zeros(len(own), bool)]
-            for a in range(0, len(pdf), 500):
-                part = pdf.iloc[a : a + 500]
-                yield pd.DataFrame({"doc": part["doc_id"], "tokens": [shingles(t, size).tobytes() for t in part["text"]]})
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                docs.append(doc_id)
+                sets.append(shingles(text, size).tobytes())
+                room -= len(sets[-1]) + 64
+                if room <= 0:
+                    yield pd.DataFrame({"doc": docs, "chunk": chunk, "tokens": sets})
+                    chunk, room, docs, sets = chunk + 1, CHUNK_BYTES, [], []
+        yield pd.DataFrame({"doc": docs, "chunk": chunk, "tokens": sets})
 
     return run
 
@@ -251,17 +267,9 @@ def jaccard_groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100
     total = sets.count()
     classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = materialise(classes, "set-classes")
-    ranges = shuffle_partitions(spark)
-    ranges = max(ranges, -(-int(sets.agg(F.coalesce(F.sum(F.length("tokens")), F.lit(0)) / 8).collect()[0][0]) // RANGE_TOKENS))
     usable = sets.where("n > 0 AND doc_id IS NOT NULL")
-    slices = usable.select("chunk", "tokens").groupBy("chunk").applyInPandas(_slices(ranges), "chunk long, range int, tokens binary, counts binary")
-    told = slices.groupBy("range").applyInPandas(_frequencies, "chunk long, range int, doc_id long, classes binary")
     standing = join_groups(usable.select("doc_id", "chunk", "digest"), classes, "digest", "copies", total).where("rep <> doc_id")
-    told = told.unionByName(standing.select("chunk", F.lit(-1).alias("range"), "doc_id", F.lit(None).cast("binary").alias("classes")))
-    entries = usable.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(_index(num, den), "sig long, doc long, n long")
-    entries = materialise(entries, "entries", "zstd")
-    shared = entries.groupBy("sig").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("sig")
-    active = materialise(entries.join(shared, "sig").select("sig", "doc", "n", F.col("doc").alias("label")).distinct(), "active")
+    active = _shared_entries(usable.select("doc_id", "chunk", "n", "tokens"), standing.select("chunk", "doc_id"), num, den, False)
     labels = _link(docs, active, size, num, den)
     groups = classes.join(labels, classes["rep"] == labels["node"], "left").select("digest", "copies", F.coalesce("label", "rep").alias("component_id"))
     mine = sets.select("doc_id", F.col("n").alias("n_shingles"), "digest")
@@ -270,6 +278,22 @@ def jaccard_groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100
     return linked.select("doc_id", "n_shingles", "component_id").unionByName(lone)
 
 
+def _shared_entries(sets: DataFrame, standing: DataFrame | None, num: int, den: int, every: bool) -> DataFrame:
+    """sig, doc, n, label (the doc) of the index entries that two sets or more share. sets: doc_id, chunk, n, tokens; standing: documents
+    (chunk, doc_id) whose set another one stands for."""
+    spark = sets.sparkSession
+    stored = sets.agg(F.coalesce(F.sum(F.length("tokens")), F.lit(0))).collect()[0][0]
+    ranges = max(shuffle_partitions(spark), -(-int(stored) // (8 if every else 4) // RANGE_TOKENS))
+    slices = sets.select("chunk", "tokens").groupBy("chunk").applyInPandas(_slices(ranges, every), "chunk long, range int, tokens binary, counts binary")
+    told = slices.groupBy("range").applyInPandas(_frequencies, "chunk long, range int, doc_id long, classes binary")
+    if standing is not None:
+        told = told.unionByName(standing.select("chunk", F.lit(-1).alias("range"), "doc_id", F.lit(None).cast("binary").alias("classes")))
+    entries = sets.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(_index(num, den, every), "sig long, doc long, n long")
+    entries = materialise(entries, "entries", "zstd")
+    shared = entries.groupBy("sig").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("sig")
+    return materialise(entries.join(shared, "sig").select("sig", "doc", "n", F.col("doc").alias("label")).distinct(), "active")
+
+
 def _link(docs: DataFrame, active: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """node, label of the sets in ``active`` (sig, doc, n, label) that link with another."""
     spark = docs.sparkSession
@@ -278,8 +302,10 @@ def _link(docs: DataFrame, active: DataFrame, size: int, num: int, den: int) ->
     if ids is None:
         texts = texts.join(active.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sent = None if ids is None else spark.sparkContext.broadcast(ids)
-    whole = texts.mapInPandas(_whole_sets(size, sent), "doc long, tokens binary").dropDuplicates(["doc"])
+    whole = texts.mapInPandas(_whole_sets(size, sent), "doc long, chunk long, tokens binary").dropDuplicates(["doc"])
     whole = materialise(whole, "whole-sets", "uncompressed")
+    again = whole.select(F.col("doc").alias("doc_id"), "chunk", (F.length("tokens") / 8).cast("long").alias("n"), "tokens")
+    active = _shared_entries(again, None, num, den, True)
     links = spark.createDataFrame([], "a long, b long")
     tested, labels, hubs_at_once = None, spark.createDataFrame([], "node long, label long"), 1
     while not active.isEmpty():
@@ -295,8 +321,9 @@ def _link(docs: DataFrame, active: DataFrame, size: int, num: int, den: int) ->
         x = whole.select(F.col("doc").alias("a"), F.col("tokens").alias("x"))
         y = whole.select(F.col("doc").alias("b"), F.col("tokens").alias("y"))
         found = materialise(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInPandas(_verified(num, den), "a long, b long"), "found")
-        links = links.unionByName(found)
-        labels = connected_components(links)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = connected_components(links)
         rest = part.join(hubs, ["sig", "part"]).where("doc <> hub.doc").select("sig", "doc", "n")
         rest = rest.join(labels, rest["doc"] == labels["node"], "left").select("sig", "doc", "n", F.coalesce("label", "doc").alias("label"))
         rest = materialise(rest, "rest")
@@ -309,4 +336,4 @@ def _link(docs: DataFrame, active: DataFrame, size: int, num: int, den: int) ->
 def drop_near_copies(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one document, that with the smallest doc_id, of each group; columns as they were."""
     gone = jaccard_groups(docs, size, num, den).where("component_id <> doc_id").select(F.col("doc_id").alias("__dropped"))
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__dropped"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["__dropped"], "left_anti")
