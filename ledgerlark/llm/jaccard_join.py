@@ -18,7 +18,8 @@ it, which can only add candidates: a set lacks no more of these than of whole to
 
 Groups. Equal sets are one class from the start, with its smallest doc_id for all. An index entry with many sets doesn't
 emit its pairs: it names hubs, each other set is verified against these, and sets that are connected by then aren't compared
-any more. What is left meets four times as many hubs in the next round, until each entry's sets are one group or all pairs of
+any more, nor are sets that have too many tokens of their own alone to link, or whose distances to the entry's first hub tell that they
+can't (Jaccard distance is a metric). What is left meets four times as many hubs in the next round, until each entry's sets are one group or all pairs of
 different groups have been compared. So no link between groups is missed, and a group of thousands of near copies costs
 thousands of comparisons, not their square.
 
@@ -202,7 +203,7 @@ def _index(num: int, den: int, every: bool):
         own = told[told["range"] >= 0].sort_values("range")
         values, classes = chunk_tokens(sets["tokens"], every)[0], np.frombuffer(b"".join(own["classes"]), dtype=np.uint8)
         skip = set(told["doc_id"][told["range"] < 0].astype("int64"))
-        sigs, docs, sizes = [], [], []
+        sigs, docs, sizes, common = [], [], [], []
         for doc_id, n, blob in zip(sets["doc_id"], sets["n"], sets["tokens"], strict=True):
             if not n or doc_id in skip:
                 continue
@@ -215,9 +216,10 @@ def _index(num: int, den: int, every: bool):
             sigs.append(s)
             docs.append(np.full(len(s), doc_id, dtype=np.int64))
             sizes.append(np.full(len(s), n, dtype=np.int64))
+            common.append(np.full(len(s), n - (kind == 1).sum(), dtype=np.int64))
         if not sigs:
-            return pd.DataFrame({"sig": [], "doc": [], "n": []}).astype("int64")
-        return pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "doc": np.concatenate(docs), "n": np.concatenate(sizes)})
+            return pd.DataFrame({"sig": [], "doc": [], "n": [], "m": []}).astype("int64")
+        return pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "doc": np.concatenate(docs), "n": np.concatenate(sizes), "m": np.concatenate(common)})
 
     return run
 
@@ -246,6 +248,7 @@ def _whole_sets(size: int, wanted):
 def _verified(num: int, den: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            shares = np.zeros(len(pdf))
             linked = np.zeros(len(pdf), dtype=bool)
             for k, (x, y) in enumerate(zip(pdf["x"], pdf["y"], strict=True)):
                 x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
@@ -253,7 +256,8 @@ def _verified(num: int, den: int):
                 both.sort(kind="stable")
                 shared = int((both[1:] == both[:-1]).sum())
                 linked[k] = den * shared >= num * (len(x) + len(y) - shared)
-            yield pdf.loc[linked, ["a", "b"]]
+                shares[k] = shared / (len(x) + len(y) - shared)
+            yield pdf[["a", "b"]].assign(linked=linked, far=1 - shares)
 
     return run
 
@@ -279,7 +283,7 @@ def jaccard_groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100
 
 
 def _shared_entries(sets: DataFrame, standing: DataFrame | None, num: int, den: int, every: bool) -> DataFrame:
-    """sig, doc, n, label (the doc) of the index entries that two sets or more share. sets: doc_id, chunk, n, tokens; standing: documents
+    """sig, doc, n, m (tokens that another set can have), label (the doc) of the index entries that two sets or more share. sets: doc_id, chunk, n, tokens; standing: documents
     (chunk, doc_id) whose set another one stands for."""
     spark = sets.sparkSession
     stored = sets.agg(F.coalesce(F.sum(F.length("tokens")), F.lit(0))).collect()[0][0]
@@ -288,10 +292,10 @@ def _shared_entries(sets: DataFrame, standing: DataFrame | None, num: int, den:
     told = slices.groupBy("range").applyInPandas(_frequencies, "chunk long, range int, doc_id long, classes binary")
     if standing is not None:
         told = told.unionByName(standing.select("chunk", F.lit(-1).alias("range"), "doc_id", F.lit(None).cast("binary").alias("classes")))
-    entries = sets.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(_index(num, den, every), "sig long, doc long, n long")
+    entries = sets.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(_index(num, den, every), "sig long, doc long, n long, m long")
     entries = materialise(entries, "entries", "zstd")
     shared = entries.groupBy("sig").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("sig")
-    return materialise(entries.join(shared, "sig").select("sig", "doc", "n", F.col("doc").alias("label")).distinct(), "active")
+    return materialise(entries.join(shared, "sig").select("sig", "doc", "n", "m", F.col("doc").alias("label")).distinct(), "active")
 
 
 def _link(docs: DataFrame, active: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -306,13 +310,19 @@ def _link(docs: DataFrame, active: DataFrame, size: int, num: int, den: int) ->
     whole = materialise(whole, "whole-sets", "uncompressed")
     again = whole.select(F.col("doc").alias("doc_id"), "chunk", (F.length("tokens") / 8).cast("long").alias("n"), "tokens")
     active = _shared_entries(again, None, num, den, True)
+    active = active.withColumn("far", F.lit(None).cast("double"))
     links = spark.createDataFrame([], "a long, b long")
     tested, labels, hubs_at_once = None, spark.createDataFrame([], "node long, label long"), 1
     while not active.isEmpty():
         part = active.withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(hubs_at_once)))
-        hubs = part.groupBy("sig", "part").agg(F.min(F.struct("doc", "n", "label")).alias("hub"))
+        hubs = part.groupBy("sig", "part").agg(F.min(F.struct("doc", "n", "m", "label", "far")).alias("hub"))
         meet = active.join(hubs.select("sig", "hub"), "sig").where("label <> hub.label")
         meet = meet.where((F.least("n", "hub.n") * den >= F.greatest("n", "hub.n") * num))
+        # a set shares no more tokens than those that aren't its own alone
+        most = F.least("m", "hub.m")
+        meet = meet.where(most * den >= (F.col("n") + F.col("hub.n") - most) * num)
+        # 1 - Jaccard is a metric: two sets whose distances to the entry's first hub differ by more than a link's can't link
+        meet = meet.where(F.coalesce(F.abs(F.col("far") - F.col("hub.far")) <= 1 - num / den + 1e-9, F.lit(True)))
         pairs = meet.select(F.least("doc", "hub.doc").alias("a"), F.greatest("doc", "hub.doc").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -320,12 +330,17 @@ def _link(docs: DataFrame, active: DataFrame, size: int, num: int, den: int) ->
         tested = pairs if tested is None else tested.unionByName(pairs)
         x = whole.select(F.col("doc").alias("a"), F.col("tokens").alias("x"))
         y = whole.select(F.col("doc").alias("b"), F.col("tokens").alias("y"))
-        found = materialise(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInPandas(_verified(num, den), "a long, b long"), "found")
-        if not found.isEmpty():
-            links = links.unionByName(found)
+        found = materialise(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInPandas(_verified(num, den), "a long, b long, linked boolean, far double"), "found")
+        new = found.where("linked").select("a", "b")
+        if not new.isEmpty():
+            links = links.unionByName(new)
             labels = connected_components(links)
-        rest = part.join(hubs, ["sig", "part"]).where("doc <> hub.doc").select("sig", "doc", "n")
-        rest = rest.join(labels, rest["doc"] == labels["node"], "left").select("sig", "doc", "n", F.coalesce("label", "doc").alias("label"))
+        rest = part.join(hubs, ["sig", "part"]).where("doc <> hub.doc")
+        if hubs_at_once == 1:
+            rest = rest.select("sig", "doc", "n", "m", F.least("doc", "hub.doc").alias("a"), F.greatest("doc", "hub.doc").alias("b"))
+            rest = rest.join(found.select("a", "b", "far"), ["a", "b"], "left")
+        rest = rest.select("sig", "doc", "n", "m", "far")
+        rest = rest.join(labels, rest["doc"] == labels["node"], "left").select("sig", "doc", "n", "m", F.coalesce("label", "doc").alias("label"), "far")
         rest = materialise(rest, "rest")
         open_ = rest.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
         active = materialise(rest.join(open_, "sig"), "active")
