@@ -96,21 +96,25 @@ def batch_margins(texts: list[str], weights: np.ndarray) -> np.ndarray:
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """A linear SVM with hinge loss by dual coordinate descent; y is -1 or 1. Weights and bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, alpha, norm = np.zeros(x.shape[1]), np.zeros(len(x)), (x * x).sum(axis=1)
+    """A linear SVM with hinge loss by dual coordinate descent; y is -1 or 1. Weights and bias (the weight of a constant 1).
+
+    x stays in 32 bits and isn't copied: it is what the driver's memory goes to.
+    """
+    w, bias, alpha, norm = np.zeros(x.shape[1], x.dtype), 0.0, np.zeros(len(x)), np.einsum("ij,ij->i", x, x) + 1
     rng = np.random.Generator(np.random.PCG64(5))
     for _ in range(rounds):
         moved = 0.0
         for i in rng.permutation(len(x)):
-            new = min(max(alpha[i] - (y[i] * (w @ x[i]) - 1) / norm[i], 0.0), cost)
+            new = min(max(alpha[i] - (y[i] * (float(w @ x[i]) + bias) - 1) / norm[i], 0.0), cost)
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                step = (new - alpha[i]) * y[i]
+                w += x.dtype.type(step) * x[i]
+                bias += step
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-3:
             break
-    return w[:-1], float(w[-1])
+    return w, float(bias)
 
 
 class Model:
@@ -161,8 +165,11 @@ def fit(rows: list[tuple[str, np.ndarray]]) -> Model:
     langs = [x for x in langs if counts[x] >= LEAST_DOCS] or langs
     if not langs:
         return Model({}, [], np.zeros((0, DIM), np.float32), np.zeros(0))
-    by = {lang: np.array([x for name, x in rows if name == lang]) for lang in langs}
-    scale = 1 / np.sqrt(np.mean(np.concatenate([(x * x).sum(axis=1) for x in by.values()])))
+    by = {lang: np.array([x for name, x in rows if name == lang], dtype=np.float32) for lang in langs}
+    rows.clear()  # copied above; the driver's memory is small
+    scale = np.float32(1 / np.sqrt(np.mean(np.concatenate([np.einsum("ij,ij->i", x, x) for x in by.values()]))))
+    for x in by.values():
+        x *= scale
     family = {lang: FAMILY_OF.get(lang, f"={lang}") for lang in langs}
     classes: dict[str | None, list[str]] = {None: sorted(set(family.values()))}
     for f in classes[None]:
@@ -172,7 +179,7 @@ def fit(rows: list[tuple[str, np.ndarray]]) -> Model:
         for i, a in enumerate(names):
             for b in names[i + 1 :]:
                 xa, xb = ((np.concatenate([by[lang] for lang in classes[n]]) if level is None else by[n]) for n in (a, b))
-                w, c = fit_svm(np.concatenate([xa, xb]) * scale, np.concatenate([np.ones(len(xa)), -np.ones(len(xb))]), cost=10.0)
+                w, c = fit_svm(np.concatenate([xa, xb]), np.concatenate([np.ones(len(xa)), -np.ones(len(xb))]), cost=10.0)
                 pairs.append((level, a, b))
                 weights.append(w * scale)
                 bias.append(c)
