@@ -154,6 +154,37 @@ def test_passages_found_and_clean_documents_left_alone(spark):
     assert passages.shared_passages(spark.createDataFrame([], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize("every, n", [(8, 60), (10, 50), (12, 60)])
+def test_fuzzy_passages_are_found(spark, every, n):
+    """Documents in pairs; a passage of n words in both, every so many words replaced in one."""
+    rng = random.Random(every)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows = []
+    for k in range(60):
+        one = [word() for _ in range(n)]
+        two = [word() if i % every == every - 1 else w for i, w in enumerate(one)]
+        rows += [(2 * k + i, " ".join([word() for _ in range(50)] + own + [word() for _ in range(50)]), "en", "a", 1) for i, own in enumerate((one, two))]
+    out = passages.shared_passages(frame(spark, rows)).collect()
+    found = {r["doc_id"] for r in out}
+    assert found == set(range(120))
+    assert all(r["partner_id"] == r["doc_id"] ^ 1 for r in out)
+
+
+def test_chains_left_out_are_no_passages():
+    rng = np.random.default_rng(4)
+    for share in (0.5, 0.7, 0.85, 0.95):
+        for _ in range(300):
+            x = rng.integers(0, 6, 140)
+            y = np.where(rng.random(140) < share, x, rng.integers(0, 6, 140))
+            at = np.array([int(rng.integers(0, 137))])
+            y[at[0] : at[0] + 4] = x[at[0] : at[0] + 4]
+            hashes = rng.integers(0, 1 << 62, 6).astype(np.uint64)
+            near = [passages.surroundings(hashes[z], at) for z in (x, y)]
+            zero = np.array([0])
+            matched = passages.align([*map(str, x)], [*map(str, y)], at.tolist(), at.tolist())[4]
+            assert matched < passages.LEAST_WORDS or passages.may_be_passages(at, at, *near, zero, zero).all()
+
+
 def test_chain_prefers_collinear_matches():
     pa, pb = np.array([0, 6, 12, 18, 6]), np.array([100, 106, 112, 118, 5])
     assert passages.chains(pa, pb)[0] == [0, 1, 2, 3]
