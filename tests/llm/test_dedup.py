@@ -180,9 +180,26 @@ def test_chains_left_out_are_no_passages():
             y[at[0] : at[0] + 4] = x[at[0] : at[0] + 4]
             hashes = rng.integers(0, 1 << 62, 6).astype(np.uint64)
             near = [passages.surroundings(hashes[z], at) for z in (x, y)]
-            zero = np.array([0])
+            zero, known = np.array([0]), np.array([True])
             matched = passages.align([*map(str, x)], [*map(str, y)], at.tolist(), at.tolist())[4]
-            assert matched < passages.LEAST_WORDS or passages.may_be_passages(at, at, *near, zero, zero).all()
+            assert matched < passages.LEAST_WORDS or passages.may_be_passages(at, at, *near, known, zero, zero).all()
+
+
+def test_passages_in_hubs_that_repeat_their_lines(spark):
+    """The lowest and highest documents hold all pieces of the passage, in another order, before and after it; runs of one word or phrase."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    fresh = lambda n: " ".join(word() for _ in range(n))
+    passage = fresh(60)
+    words = passage.split()
+    pieces = [" ".join(words[k : k + 20]) for k in (40, 30, 20, 10, 0)]  # every seed is in one of them
+    apart = " ".join(f"{fresh(40)} {x}" for x in pieces)
+    hubs = [f"{apart} {fresh(50)} {passage} {fresh(50)} {apart}" for _ in range(2)]
+    texts = {0: hubs[0], 1: f"{fresh(20)} {passage} {fresh(20)}", 2: f"{fresh(30)} {passage}", 9: hubs[1]}
+    texts |= {20: f"{fresh(20)} " + "same " * 300, 21: "same " * 50 + fresh(20), 30: "over and again " * 100 + fresh(9), 31: fresh(9) + " over and again" * 20}
+    out = passages.shared_passages(frame(spark, [(k, x, "en", "a", 1) for k, x in texts.items()])).collect()
+    assert {r["doc_id"] for r in out} == set(texts)
+    assert {(1, 0), (1, 9), (2, 0), (2, 9), (21, 20), (31, 30)} <= {(r["doc_id"], r["partner_id"]) for r in out}
 
 
 def test_chain_prefers_collinear_matches():
