@@ -202,6 +202,21 @@ def test_passages_in_hubs_that_repeat_their_lines(spark):
     assert {(1, 0), (1, 9), (2, 0), (2, 9), (21, 20), (31, 30)} <= {(r["doc_id"], r["partner_id"]) for r in out}
 
 
+def test_passages_of_frequent_lines(spark):
+    """A passage of two lines, and a fuzzy one, in documents whose hubs hold less than a passage of each seed."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    fresh = lambda n: " ".join(word() for _ in range(n))
+    words = fresh(60).split()
+    pieces = [" ".join(words[k : k + 30]) for k in range(0, 31, 10)]
+    fuzzy = [w if k % 15 != 14 else word() for k, w in enumerate(words)]
+    held = [f"{fresh(20)} {' '.join(x)} {fresh(20)}" for x in (words, words, fuzzy)]
+    rows = [(k, f"{fresh(30)} {x} {fresh(30)}", "en", "a", 1) for k, x in enumerate(pieces)] + [(10 + k, x, "en", "a", 1) for k, x in enumerate(held)]
+    rows += [(20 + k, f"{fresh(30)} {x} {fresh(30)}", "en", "a", 1) for k, x in enumerate(pieces)]
+    out = passages.shared_passages(frame(spark, rows)).collect()
+    assert {(r["doc_id"], r["partner_id"]) for r in out} == {(x, y) for x in (10, 11, 12) for y in (10, 11, 12) if x != y}
+
+
 def test_chain_prefers_collinear_matches():
     pa, pb = np.array([0, 6, 12, 18, 6]), np.array([100, 106, 112, 118, 5])
     assert passages.chains(pa, pb)[0] == [0, 1, 2, 3]
