@@ -77,5 +77,20 @@ def multi_key_candidates(left: DataFrame, right: DataFrame, left_id: str, right_
     return x.join(y, "k").select(left_id, right_id).distinct()
 
 
+def multi_key_counts(df: DataFrame, key: str, keys: Column) -> DataFrame:
+    """``key``, candidates: how many other rows share any of a row's keys (an array, few a row; ``key`` is unique).
+
+    Counted by inclusion and exclusion over the subsets of a row's keys, so rows are 2 to the number of keys a row and no pair is made.
+    """
+    subsets = F.aggregate(
+        F.array_sort(F.array_distinct(F.filter(keys, lambda k: k.isNotNull()))), F.array(F.array().cast("array<string>")), lambda have, k: F.concat(have, F.transform(have, lambda s: F.array_append(s, k)))
+    )
+    rows = df.select(key, F.explode(subsets).alias("s")).where(F.size("s") > 0)
+    sizes = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    signed = F.when(F.size("s") % 2 == 1, F.col("n") - 1).otherwise(1 - F.col("n"))
+    found = rows.join(sizes, "s").groupBy(key).agg(F.sum(signed).alias("candidates"))
+    return df.select(key).join(found, key, "left").na.fill(0, ["candidates"])
+
+
 def existing(df: DataFrame, keys: DataFrame, on: list[str], present: bool = True) -> DataFrame:
     return df.join(keys.select(*on), on, "left_semi" if present else "left_anti")

@@ -322,6 +322,14 @@ def multi_key_blocking(spark, folder):
     return joins.multi_key_candidates(x, y, "a", "b", F.col("x"), F.col("y")).where("a < b")
 
 
+@register()
+def multi_key_candidate_counts(spark, folder):
+    """p_partkey, candidates: of every part, how many others share a key of multi_key_blocking with it."""
+    part = t(spark, folder, "part")
+    keys = F.concat(F.array(F.lower("p_brand"), F.lower("p_type")), F.split(F.lower("p_name"), " "))
+    return joins.multi_key_counts(part, "p_partkey", keys)
+
+
 # ------------------------------------------------------------------ sequences
 @register("""
 WITH g AS (SELECT event_id, user_id, ts, coalesce(date_diff('microsecond', lag(ts) OVER w, ts) > 6 * 3600 * 1000000::BIGINT, true)::INT AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))

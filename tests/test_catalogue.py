@@ -31,3 +31,12 @@ def test_query(spark, name):
             db.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p / '*.parquet' if p.is_dir() else p}')")
         want = db.execute(catalogue.ORACLE_SQL[name]).df()
         assert sorted(got.columns) == sorted(want.columns) and normal(got) == normal(want)
+
+
+@pytest.mark.skipif(not FOLDER.exists(), reason="needs the driver's tables")
+def test_candidates_are_counted_over_all_parts(spark):
+    part = pd.read_parquet(FOLDER / "part.parquet")
+    keys = {r.p_partkey: {r.p_brand.lower(), r.p_type.lower(), *r.p_name.lower().split(" ")} for r in part.itertuples()}
+    want = {a: sum(a != b and bool(x & y) for b, y in keys.items()) for a, x in keys.items()}
+    got = catalogue.QUERIES["multi_key_candidate_counts"](spark, str(FOLDER)).collect()
+    assert len(got) == len(want) > 40 and {r["p_partkey"]: r["candidates"] for r in got} == want
