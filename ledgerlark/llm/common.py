@@ -24,9 +24,12 @@ M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared scratch folder: ``spark.checkpoint.dir``; a local one is made only where that is unset (tests)."""
+    """The shared scratch folder: ``spark.checkpoint.dir``. Where that is unset a local one is made, in local mode only (tests)."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         set_dir = "file://" + tempfile.mkdtemp(prefix="ledgerlark-")
         spark.conf.set("spark.checkpoint.dir", set_dir)
     return f"{set_dir.rstrip('/')}/ledgerlark-{spark.sparkContext.applicationId}"

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
+#: Up to so many contracted links (16 bytes each) are finished in one task; beyond, stars are merged round by round.
+ONE_TASK = 500_000
+
 
 class Forest:
     """Union-find over any hashable nodes; the root of a tree is its least node."""
@@ -56,7 +59,9 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     edges = materialise(edges.repartition("a").mapInPandas(_contract, "a long, b long").distinct(), "links")
     mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]
-    while True:
+    if mark[0] <= ONE_TASK:
+        edges = materialise(edges.coalesce(1).mapInPandas(_contract, "a long, b long"), "links")
+    while mark[0] > ONE_TASK:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()

@@ -13,13 +13,16 @@ larger one's band. Sets that share an indexed combination are verified on the wh
 Order. Half of all tokens, by hash, come first in the order; only their document frequencies are counted (over all documents).
 Half is enough for prefixes at the thresholds allowed here (0.8 and more); sets where it falls short bring all their tokens. Sets
 that share an entry of this first index are indexed once more, now by all their tokens and their frequencies among these sets
-(a link joins two of them), which leaves out the many that share a long passage and little else. The index knows tokens by 32 bits; tokens that collide there are one to
+(a link joins two of them), which leaves out the many that share a long passage and little else. Once each entry's sets have met one of them, those that could
+still link are indexed a last time; tokens that only sets of one group have count as those of one set there, so near copies
+don't hide what tells groups apart. The index knows tokens by 32 bits; tokens that collide there are one to
 it, which can only add candidates: a set lacks no more of these than of whole tokens.
 
 Groups. Equal sets are one class from the start, with its smallest doc_id for all. An index entry with many sets doesn't
-emit its pairs: it names hubs, each other set is verified against these, and sets that are connected by then aren't compared
-any more, nor are sets that have too many tokens of their own alone to link, or whose distances to the entry's first hub tell that they
-can't (Jaccard distance is a metric). What is left meets four times as many hubs in the next round, until each entry's sets are one group or all pairs of
+emit its pairs: it names hubs, the sets with the most tokens that others can have, each other set is verified against these, and sets that are connected by then aren't
+compared any more, nor are sets that have too many tokens of their own (or of their own group) alone to link, or whose distances to the entry's first hub tell that they
+can't (Jaccard distance is a metric). Sets that can't link with even the likeliest of an entry leave it, and of entries with
+the same sets one stays, and large ones with nearly the same sets become one. What is left meets eight times as many hubs in the next round, until each entry's sets are one group or all pairs of
 different groups have been compared. So no link between groups is missed, and a group of thousands of near copies costs
 thousands of comparisons, not their square.
 
@@ -48,6 +51,8 @@ from .components import connected_components
 
 #: Documents a token may have to be indexed alone.
 FREQUENT = 32
+#: Sets an entry may have to be compared with each other at once.
+ALL_PAIRS = 16
 #: Bytes of text whose documents make a chunk, tokens a range of token hashes is planned for.
 CHUNK_BYTES = 4 << 20
 RANGE_TOKENS = 4_000_000
@@ -176,25 +181,49 @@ def chunk_tokens(blobs: pd.Series, every: bool) -> tuple[np.ndarray, np.ndarray]
     return np.unique(t[is_first(t, every)], return_counts=True)
 
 
+def token_labels(blobs: pd.Series, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the greatest label of the sets of a chunk that have each of its tokens, in their order."""
+    sets = [read_tokens(b, True) for b in blobs]
+    t = np.concatenate([np.zeros(0, np.uint32), *sets])
+    own = np.repeat(labels, [len(x) for x in sets])
+    by = np.argsort(t, kind="stable")
+    first = group_bounds(t[by])[:-1]
+    if not len(first):
+        return own[:0], own[:0]
+    return np.minimum.reduceat(own[by], first), np.maximum.reduceat(own[by], first)
+
+
 def _slices(ranges: int, every: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         values, counts = chunk_tokens(pdf["tokens"], every)
+        parts = [values, counts.astype(np.uint32)]
+        if every:
+            parts += token_labels(pdf["tokens"], pdf["label"].to_numpy(np.int64))
         cuts = np.searchsorted(values, np.arange(1, ranges) * 2.0**32 / ranges)
-        rows = zip(np.split(values, cuts), np.split(counts.astype(np.uint32), cuts), strict=True)
+        rows = zip(*(np.split(x, cuts) for x in parts), strict=True)
         chunk = int(pdf["chunk"].iloc[0])
-        return pd.DataFrame([(chunk, r, v.tobytes(), c.tobytes()) for r, (v, c) in enumerate(rows) if len(v)], columns=["chunk", "range", "tokens", "counts"])
+        out = [(chunk, r, *(x.tobytes() for x in row)) for r, row in enumerate(rows) if len(row[0])]
+        return pd.DataFrame(out, columns=["chunk", "range", "tokens", "counts", *(["lo", "hi"] if every else [])])
 
     return run
 
 
-def _frequencies(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one range of tokens: for each chunk, the frequency class of each of its tokens, in their order."""
-    values = np.frombuffer(b"".join(pdf["tokens"]), dtype=np.uint32)
-    counts = np.frombuffer(b"".join(pdf["counts"]), dtype=np.uint32)
-    _, at = np.unique(values, return_inverse=True)
-    classes = frequency_class(np.bincount(at, weights=counts))[at]
-    ends = np.cumsum([len(x) // 4 for x in pdf["tokens"]])[:-1]
-    return pd.DataFrame({"chunk": pdf["chunk"], "range": pdf["range"], "doc_id": None, "classes": [x.tobytes() for x in np.split(classes, ends)]})
+def _frequencies(every: bool):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Of one range of tokens: for each chunk, the frequency class of each of its tokens, in their order. 1 where all sets that have it are linked."""
+        values = np.frombuffer(b"".join(pdf["tokens"]), dtype=np.uint32)
+        counts = np.frombuffer(b"".join(pdf["counts"]), dtype=np.uint32)
+        _, at = np.unique(values, return_inverse=True)
+        classes = frequency_class(np.bincount(at, weights=counts))
+        if every and len(at):
+            lo, hi = (np.frombuffer(b"".join(pdf[c]), dtype=np.int64) for c in ("lo", "hi"))
+            by = np.argsort(at, kind="stable")
+            first = group_bounds(at[by])[:-1]
+            classes[np.minimum.reduceat(lo[by], first) == np.maximum.reduceat(hi[by], first)] = 1
+        ends = np.cumsum([len(x) // 4 for x in pdf["tokens"]])[:-1]
+        return pd.DataFrame({"chunk": pdf["chunk"], "range": pdf["range"], "doc_id": None, "classes": [x.tobytes() for x in np.split(classes[at], ends)]})
+
+    return run
 
 
 def _index(num: int, den: int, every: bool):
@@ -283,19 +312,60 @@ def jaccard_groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100
 
 
 def _shared_entries(sets: DataFrame, standing: DataFrame | None, num: int, den: int, every: bool) -> DataFrame:
-    """sig, doc, n, m (tokens that another set can have), label (the doc) of the index entries that two sets or more share. sets: doc_id, chunk, n, tokens; standing: documents
-    (chunk, doc_id) whose set another one stands for."""
+    """sig, doc, n, m (tokens that a set of another label can have), label, e of the index entries in which two sets could link. sets: doc_id, chunk, n, tokens,
+    and label in the second index; standing: documents (chunk, doc_id) whose set another one stands for."""
     spark = sets.sparkSession
     stored = sets.agg(F.coalesce(F.sum(F.length("tokens")), F.lit(0))).collect()[0][0]
     ranges = max(shuffle_partitions(spark), -(-int(stored) // (8 if every else 4) // RANGE_TOKENS))
-    slices = sets.select("chunk", "tokens").groupBy("chunk").applyInPandas(_slices(ranges, every), "chunk long, range int, tokens binary, counts binary")
-    told = slices.groupBy("range").applyInPandas(_frequencies, "chunk long, range int, doc_id long, classes binary")
+    ends = ("label", ", lo binary, hi binary") if every else ("doc_id", "")
+    slices = sets.select("chunk", "tokens", ends[0]).groupBy("chunk").applyInPandas(_slices(ranges, every), f"chunk long, range int, tokens binary, counts binary{ends[1]}")
+    told = slices.groupBy("range").applyInPandas(_frequencies(every), "chunk long, range int, doc_id long, classes binary")
     if standing is not None:
         told = told.unionByName(standing.select("chunk", F.lit(-1).alias("range"), "doc_id", F.lit(None).cast("binary").alias("classes")))
     entries = sets.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(_index(num, den, every), "sig long, doc long, n long, m long")
-    entries = materialise(entries, "entries", "zstd")
-    shared = entries.groupBy("sig").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("sig")
-    return materialise(entries.join(shared, "sig").select("sig", "doc", "n", "m", F.col("doc").alias("label")).distinct(), "active")
+    # two sets share no more tokens than half of what others can have of both, so they can only link if their e add up to 0 or less
+    entries = materialise(entries.withColumn("e", F.col("n") * (2 * num) - F.col("m") * (num + den)), "entries", "zstd")
+    if every:
+        entries = entries.join(sets.select(F.col("doc_id").alias("doc"), "label"), "doc")
+    else:
+        entries = entries.withColumn("label", F.col("doc"))
+    return _open_entries(entries, num, den)
+
+
+def _open_entries(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """``rows`` (sig, doc, n, m, label, e, ...) of entries in which sets of different labels could link, without those that can't link with any other there.
+
+    Of entries with the same sets (told by 128 bits of hashes of their doc_ids) one stays; of those with more than ALL_PAIRS, entries
+    of much the same sets (of one power of two in size and with one least hash) become one with the sets of all.
+    """
+    total = rows.count()
+    met = rows.groupBy("sig").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("e").alias("least"), F.min("n").alias("fewest"), F.count(F.lit(1)).alias("members")
+    )
+    met = materialise(met.where("lo <> hi AND least <= 0").select("sig", "least", "fewest", "members"), "met", "zstd")
+    able = (F.col("e") + F.col("least") <= 0) & (F.col("m") * (num + den) >= (F.col("n") + F.col("fewest")) * num)
+    rows = materialise(join_groups(rows, met, "sig", "members", total).where(able).drop("least", "fewest", "members").distinct(), "able", "zstd")
+    sets = rows.groupBy("sig").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members"), F.min(F.xxhash64("doc")).alias("low"),
+        F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y"),
+    )
+    sets = sets.where("lo <> hi").groupBy("members", "low", "x", "y").agg(F.min("sig").alias("sig"))
+    alike = F.xxhash64("low", F.floor(F.log2("members")))
+    sets = materialise(sets.select("sig", "members", F.when(F.col("members") > ALL_PAIRS, alike).otherwise(F.col("sig")).alias("to")), "entry-sets", "zstd")
+    total = rows.count()
+    rows = join_groups(rows, sets, "sig", "members", total).drop("sig", "members").withColumnRenamed("to", "sig").distinct()
+    rows = materialise(rows, "merged", "zstd")
+    sizes = materialise(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("members")), "entry-sizes", "zstd")
+    return materialise(join_groups(rows, sizes, "sig", "members", rows.count()), "active", "zstd")
+
+
+def _relabel(labels: DataFrame, new: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after the links ``new`` (a, b): only links between labels go into components again."""
+    at = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))
+    moved = new.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    found = materialise(connected_components(moved), "moved")
+    old = labels.join(found.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return materialise(old.unionByName(found.join(labels, "node", "left_anti").select("node", "label")), "labels")
 
 
 def _link(docs: DataFrame, active: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -306,45 +376,53 @@ def _link(docs: DataFrame, active: DataFrame, size: int, num: int, den: int) ->
     if ids is None:
         texts = texts.join(active.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sent = None if ids is None else spark.sparkContext.broadcast(ids)
-    whole = texts.mapInPandas(_whole_sets(size, sent), "doc long, chunk long, tokens binary").dropDuplicates(["doc"])
-    whole = materialise(whole, "whole-sets", "uncompressed")
+    whole = texts.mapInPandas(_whole_sets(size, sent), "doc long, chunk long, tokens binary").groupBy("doc").agg(F.min(F.struct("tokens", "chunk")).alias("w"))
+    whole = materialise(whole.select("doc", "w.chunk", "w.tokens"), "whole-sets", "uncompressed")
     again = whole.select(F.col("doc").alias("doc_id"), "chunk", (F.length("tokens") / 8).cast("long").alias("n"), "tokens")
-    active = _shared_entries(again, None, num, den, True)
-    active = active.withColumn("far", F.lit(None).cast("double"))
-    links = spark.createDataFrame([], "a long, b long")
-    tested, labels, hubs_at_once = None, spark.createDataFrame([], "node long, label long"), 1
-    while not active.isEmpty():
-        part = active.withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(hubs_at_once)))
-        hubs = part.groupBy("sig", "part").agg(F.min(F.struct("doc", "n", "m", "label", "far")).alias("hub"))
-        meet = active.join(hubs.select("sig", "hub"), "sig").where("label <> hub.label")
-        meet = meet.where((F.least("n", "hub.n") * den >= F.greatest("n", "hub.n") * num))
-        # a set shares no more tokens than those that aren't its own alone
-        most = F.least("m", "hub.m")
-        meet = meet.where(most * den >= (F.col("n") + F.col("hub.n") - most) * num)
-        # 1 - Jaccard is a metric: two sets whose distances to the entry's first hub differ by more than a link's can't link
-        meet = meet.where(F.coalesce(F.abs(F.col("far") - F.col("hub.far")) <= 1 - num / den + 1e-9, F.lit(True)))
-        pairs = meet.select(F.least("doc", "hub.doc").alias("a"), F.greatest("doc", "hub.doc").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        x = whole.select(F.col("doc").alias("a"), F.col("tokens").alias("x"))
-        y = whole.select(F.col("doc").alias("b"), F.col("tokens").alias("y"))
-        found = materialise(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInPandas(_verified(num, den), "a long, b long, linked boolean, far double"), "found")
-        new = found.where("linked").select("a", "b")
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            labels = connected_components(links)
-        rest = part.join(hubs, ["sig", "part"]).where("doc <> hub.doc")
-        if hubs_at_once == 1:
-            rest = rest.select("sig", "doc", "n", "m", F.least("doc", "hub.doc").alias("a"), F.greatest("doc", "hub.doc").alias("b"))
-            rest = rest.join(found.select("a", "b", "far"), ["a", "b"], "left")
-        rest = rest.select("sig", "doc", "n", "m", "far")
-        rest = rest.join(labels, rest["doc"] == labels["node"], "left").select("sig", "doc", "n", "m", F.coalesce("label", "doc").alias("label"), "far")
-        rest = materialise(rest, "rest")
-        open_ = rest.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
-        active = materialise(rest.join(open_, "sig"), "active")
-        hubs_at_once *= 4
+    labels = spark.createDataFrame([], "node long, label long")
+    tested = None
+    # once with every set a label of its own and one hub an entry, then by the labels that this gives and until nothing is left
+    for last in (False, True):
+        if last:
+            kept = active.select("doc", "label").distinct()
+            again = again.join(kept, again["doc_id"] == kept["doc"]).drop("doc", "label")
+        now = again.join(labels, again["doc_id"] == labels["node"], "left").select("doc_id", "chunk", "n", "tokens", F.coalesce("label", "doc_id").alias("label"))
+        active = _shared_entries(now if not last else materialise(now, "open-sets", "uncompressed"), None, num, den, True).withColumn("far", F.lit(None).cast("double"))
+        hubs_at_once = 1
+        while not active.isEmpty():
+            part = active.withColumn("part", F.when(F.col("members") <= ALL_PAIRS, F.col("doc")).otherwise(F.pmod(F.xxhash64("doc"), F.lit(hubs_at_once))))
+            hubs = part.groupBy("sig", "part", "members").agg(F.min(F.struct("e", "doc", "n", "m", "label", "far")).alias("hub"))
+            hubs = materialise(hubs, "hubs", "zstd")
+            total = active.count()
+            meet = join_groups(active.drop("members"), hubs.select("sig", "members", "hub"), "sig", "members", total) if hubs_at_once <= 64 else active.join(hubs.select("sig", "hub"), "sig")
+            meet = meet.where("label <> hub.label AND e + hub.e <= 0").where(F.least("n", "hub.n") * den >= F.greatest("n", "hub.n") * num)
+            # a set shares no more tokens than those that sets of another label can have
+            most = F.least("m", "hub.m")
+            meet = meet.where(most * den >= (F.col("n") + F.col("hub.n") - most) * num)
+            # 1 - Jaccard is a metric: two sets whose distances to the entry's first hub differ by more than a link's can't link
+            meet = meet.where(F.coalesce(F.abs(F.col("far") - F.col("hub.far")) <= 1 - num / den + 1e-9, F.lit(True)))
+            pairs = materialise(meet.select(F.least("doc", "hub.doc").alias("a"), F.greatest("doc", "hub.doc").alias("b")).distinct(), "met-pairs", "zstd")
+            if tested is not None:
+                pairs = materialise(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs", "zstd")
+            x = whole.select(F.col("doc").alias("a"), F.col("tokens").alias("x"))
+            y = whole.select(F.col("doc").alias("b"), F.col("tokens").alias("y"))
+            found = materialise(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInPandas(_verified(num, den), "a long, b long, linked boolean, far double"), "found")
+            tested = found if tested is None else materialise(tested.unionByName(found), "tested", "zstd")
+            new = found.where("linked").select("a", "b")
+            if not new.isEmpty():
+                labels = _relabel(labels, new)
+            rest = part.join(hubs.drop("members"), ["sig", "part"]).where("doc <> hub.doc")
+            if hubs_at_once == 1:
+                rest = rest.select("sig", "doc", "n", "m", "e", F.least("doc", "hub.doc").alias("a"), F.greatest("doc", "hub.doc").alias("b"))
+                rest = rest.join(tested.select("a", "b", "far"), ["a", "b"], "left")
+            rest = rest.select("sig", "doc", "n", "m", "e", "far")
+            rest = rest.join(labels, rest["doc"] == labels["node"], "left").select("sig", "doc", "n", "m", "e", F.coalesce("label", "doc").alias("label"), "far")
+            active = _open_entries(materialise(rest, "rest", "zstd"), num, den)
+            hubs_at_once *= 8
+            if not last:
+                break
+        if active.isEmpty():
+            break
     return labels
 
 

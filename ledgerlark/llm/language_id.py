@@ -3,15 +3,19 @@
 Method. A text is lower-cased, everything in ASCII that is no letter becomes a space, and the trigrams of its UTF-8 bytes are
 hashed into DIM counts, taken as shares of the text. One-versus-one linear support vector machines (hinge loss, dual
 coordinate descent) first tell language families apart; within the family chosen, others tell its languages apart. Votes
-decide, the sum of margins breaks ties. A language without a known family is a family of its own.
+decide, the sum of margins breaks ties. A language without a known family is a family of its own. More than GROUP classes at
+one level are first told apart as GROUP groups, neighbours along the main direction of their mean shares, so the number of
+classifiers grows with the number of languages and not with its square.
 
-Fitting. At most PER_LANGUAGE labelled documents of each language are used, those with the smallest hash of doc_id, so the
-sample is the same at every run and its size is bounded; prediction reads every whole text.
+Fitting. At most PER_LANGUAGE labelled documents of each language are used, and FIT_DOCS in all (but one of each language at
+least), those with the smallest hash of doc_id, so the sample is the same at every run and its size is bounded; prediction
+reads every whole text.
 
-Scale. Prediction is one pass over the texts without a shuffle; the model is DIM numbers a classifier.
+Scale. Prediction is one pass over the texts without a shuffle; the model is DIM numbers a classifier. The sample is chosen in
+one pass and goes to the driver as sparse rows.
 
 Defined cases. Null text and text without any letter is ``und`` with score 0, and so is everything if there is no label to
-learn from. Very long texts are read in segments. Rows that repeat are predicted one by one; an empty table gives an empty
+learn from; :func:`drop_unidentified` keeps texts with letters then. Very long texts are read in segments. Rows that repeat are predicted one by one; an empty table gives an empty
 result; extra columns are ignored by :func:`predict` and kept by :func:`drop_unidentified`.
 """
 
@@ -21,14 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIM_BITS = 13
 DIM = 1 << DIM_BITS
 PER_LANGUAGE = 600
-LEAST_DOCS = 3
-MAX_LANGUAGES = 256
+FIT_DOCS = 20_000
+GROUP = 12
 SEGMENT = 1 << 21
 
 # Families of closely related languages, by ISO 639-1 code.
@@ -95,35 +99,41 @@ def batch_margins(texts: list[str], weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """A linear SVM with hinge loss by dual coordinate descent; y is -1 or 1. Weights and bias (the weight of a constant 1).
+Row = tuple[np.ndarray, np.ndarray]
 
-    x stays in 32 bits and isn't copied: it is what the driver's memory goes to.
-    """
-    w, bias, alpha, norm = np.zeros(x.shape[1], x.dtype), 0.0, np.zeros(len(x)), np.einsum("ij,ij->i", x, x) + 1
+
+def fit_svm(rows: list[Row], y: np.ndarray, cost: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, float]:
+    """A linear SVM with hinge loss by dual coordinate descent on sparse rows (places, values); y is -1 or 1. Weights and bias
+    (the weight of a constant 1)."""
+    w, bias, alpha = np.zeros(DIM), 0.0, [0.0] * len(rows)
+    norm = [float(v @ v) + 1 for _, v in rows]
+    sign = y.tolist()
     rng = np.random.Generator(np.random.PCG64(5))
     for _ in range(rounds):
         moved = 0.0
-        for i in rng.permutation(len(x)):
-            new = min(max(alpha[i] - (y[i] * (float(w @ x[i]) + bias) - 1) / norm[i], 0.0), cost)
+        for i in rng.permutation(len(rows)).tolist():
+            at, v = rows[i]
+            own = w[at]
+            new = min(max(alpha[i] - (sign[i] * (float(own @ v) + bias) - 1) / norm[i], 0.0), cost)
             if new != alpha[i]:
-                step = (new - alpha[i]) * y[i]
-                w += x.dtype.type(step) * x[i]
+                step = (new - alpha[i]) * sign[i]
+                w[at] = own + step * v
                 bias += step
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-3:
             break
-    return w, float(bias)
+    return w.astype(np.float32), float(bias)
 
 
 class Model:
-    """Pairs of classes with their weights, first among families (level None), then within each."""
+    """Classifiers of the levels of a tree; a level is a tuple, the root (), and its classes are levels or languages (strings)."""
 
-    def __init__(self, classes: dict[str | None, list[str]], pairs: list[tuple[str | None, str, str]], weights: np.ndarray, bias: np.ndarray):
+    def __init__(self, classes: dict[tuple, list], pairs: list[tuple], weights: np.ndarray, bias: np.ndarray):
+        """pairs: of each classifier its level and two of the level's classes."""
         self.classes, self.pairs, self.weights, self.bias = classes, pairs, weights, bias
 
-    def vote(self, level: str | None, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def vote(self, level: tuple, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each row: the class number that wins at a level, and how sure (0 to 1)."""
         names = self.classes[level]
         votes, sums, least = (np.zeros((len(margins), len(names))) for _ in range(3))
@@ -144,61 +154,91 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         lang, score = ["und"] * len(texts), np.zeros(len(texts))
-        at = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
-        if not at or not self.classes:
+        at = np.array([i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))], dtype=np.int64)
+        if not len(at) or not self.classes:
             return lang, score
         margins = batch_margins([texts[i] for i in at], self.weights) + self.bias
-        family, sure = self.vote(None, margins)
-        for f, name in enumerate(self.classes[None]):
-            mine = np.flatnonzero(family == f)
-            if len(mine):
-                within, p = self.vote(name, margins[mine])
-                for k, w, q in zip(mine, within, p, strict=True):
-                    lang[at[k]], score[at[k]] = self.classes[name][w], sure[k] * q
+        score[at] = 1.0
+        todo: list[tuple[tuple, np.ndarray]] = [((), np.arange(len(at)))]
+        while todo:
+            level, rows = todo.pop()
+            best, sure = self.vote(level, margins[rows])
+            score[at[rows]] *= sure
+            for c, name in enumerate(self.classes[level]):
+                mine = rows[best == c]
+                if len(mine) and isinstance(name, tuple):
+                    todo.append((name, mine))
+                for k in mine if isinstance(name, str) else ():
+                    lang[at[k]] = name
         return lang, score
 
 
-def fit(rows: list[tuple[str, np.ndarray]]) -> Model:
-    """A model from (lang, trigram shares); languages with fewer than LEAST_DOCS rows are left out if others have more."""
-    langs = sorted({lang for lang, _ in rows})
-    counts = {lang: sum(x == lang for x, _ in rows) for lang in langs}
-    langs = [x for x in langs if counts[x] >= LEAST_DOCS] or langs
-    if not langs:
+def grouped(level: tuple, names: list, means: dict, classes: dict[tuple, list]) -> None:
+    """Enter ``names`` as the classes of ``level``, in groups of neighbours if they are many."""
+    if len(names) <= GROUP:
+        classes[level] = names
+        return
+    x = np.array([means[n] for n in names])
+    x -= x.mean(axis=0)
+    along = x @ np.linalg.svd(x, full_matrices=False)[2][0]
+    parts = np.array_split(np.argsort(along, kind="stable"), GROUP)
+    classes[level] = [(*level, f"group {k}") for k in range(GROUP)]
+    for own, part in zip(classes[level], parts, strict=True):
+        grouped(own, [names[i] for i in part], means, classes)
+
+
+def fit(rows: list[tuple[str, Row]]) -> Model:
+    """A model from (lang, trigram shares as places and values)."""
+    by: dict[str, list[Row]] = {}
+    for lang, row in rows:
+        by.setdefault(lang, []).append(row)
+    if not by:
         return Model({}, [], np.zeros((0, DIM), np.float32), np.zeros(0))
-    by = {lang: np.array([x for name, x in rows if name == lang], dtype=np.float32) for lang in langs}
-    rows.clear()  # copied above; the driver's memory is small
-    scale = np.float32(1 / np.sqrt(np.mean(np.concatenate([np.einsum("ij,ij->i", x, x) for x in by.values()]))))
-    for x in by.values():
-        x *= scale
-    family = {lang: FAMILY_OF.get(lang, f"={lang}") for lang in langs}
-    classes: dict[str | None, list[str]] = {None: sorted(set(family.values()))}
-    for f in classes[None]:
-        classes[f] = [x for x in langs if family[x] == f]
+    scale = 1 / np.sqrt(np.mean([float(v.astype(float) @ v) for _, (_, v) in rows]))
+    by = {lang: [(at, v.astype(np.float64) * scale) for at, v in own] for lang, own in sorted(by.items())}
+    families: dict[tuple, list[str]] = {}
+    for lang in by:
+        families.setdefault(("family", FAMILY_OF.get(lang, f"={lang}")), []).append(lang)
+
+    def mean(langs: list[str]) -> np.ndarray:
+        out = np.zeros(DIM)
+        for lang in langs:
+            for at, v in by[lang]:
+                out[at] += v
+        return out / sum(len(by[lang]) for lang in langs)
+
+    classes: dict[tuple, list] = {}
+    grouped((), sorted(families), {f: mean(langs) for f, langs in families.items()} if len(families) > GROUP else {}, classes)
+    for f, langs in families.items():
+        grouped(f, langs, {lang: mean([lang]) for lang in langs} if len(langs) > GROUP else {}, classes)
+
+    def rows_of(name) -> list[Row]:
+        return by[name] if isinstance(name, str) else [x for part in classes[name] for x in rows_of(part)]
+
     pairs, weights, bias = [], [], []
     for level, names in classes.items():
         for i, a in enumerate(names):
             for b in names[i + 1 :]:
-                xa, xb = ((np.concatenate([by[lang] for lang in classes[n]]) if level is None else by[n]) for n in (a, b))
-                w, c = fit_svm(np.concatenate([xa, xb]), np.concatenate([np.ones(len(xa)), -np.ones(len(xb))]), cost=10.0)
+                xa, xb = rows_of(a), rows_of(b)
+                w, c = fit_svm(xa + xb, np.repeat([1.0, -1.0], [len(xa), len(xb)]), cost=10.0)
                 pairs.append((level, a, b))
-                weights.append(w * scale)
+                weights.append(w * np.float32(scale))
                 bias.append(c)
     return Model(classes, pairs, np.array(weights, np.float32).reshape(-1, DIM), np.array(bias))
 
 
-def learn(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE) -> Model:
+def learn(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE, fit_docs: int = FIT_DOCS) -> Model:
     """A model from the labelled rows of ``docs`` (doc_id, text, lang) that are ``usable``; the sample is described above."""
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    taken = None
-    for lang in langs:
-        mine = rows.where(F.col("lang") == lang).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-        mine = mine.orderBy("h", "doc_id").limit(per_language)
-        taken = mine if taken is None else taken.unionByName(mine)
-    if taken is None:
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    taken = rows.select("lang", "doc_id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).orderBy("n", "lang")
+    found = taken.limit(fit_docs).collect()  # the first of each language come first
+    if len(found) == fit_docs:
+        found = taken.where(F.col("n") <= max(1, max(r["n"] for r in found) - 1)).collect()
+    if not found:
         return fit([])
-    ids = docs.sparkSession.createDataFrame(taken.select("doc_id", "lang").distinct().collect(), "doc_id long, lang string")
+    ids = docs.sparkSession.createDataFrame(sorted({(r["doc_id"], r["lang"]) for r in found}), "doc_id long, lang string")
     sample = rows.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,13 +251,8 @@ def learn(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE) ->
             })
 
     got = sample.mapInPandas(features, "lang string, doc_id long, at binary, share binary").toPandas()
-    got = got.sort_values(["lang", "doc_id"], kind="stable")
-    out = []
-    for lang, at, share in zip(got["lang"], got["at"], got["share"], strict=True):
-        x = np.zeros(DIM, np.float32)
-        x[np.frombuffer(at, np.uint16)] = np.frombuffer(share, np.float32)
-        out.append((lang, x))
-    return fit(out)
+    got = got.sort_values(["lang", "doc_id", "share"], kind="stable")
+    return fit([(lang, (np.frombuffer(at, np.uint16), np.frombuffer(share, np.float32))) for lang, at, share in zip(got["lang"], got["at"], got["share"], strict=True)])
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -235,12 +270,15 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
 
 def drop_unidentified(docs: DataFrame, usable: Column | None = None, least: float = 0.0) -> DataFrame:
-    """``docs`` without those whose language can't be told: ``und``, or a score below ``least``; columns as they were."""
+    """``docs`` without those whose language can't be told: ``und``, or a score below ``least``; columns as they were. Without labels to
+    learn from, texts with letters stay."""
     model = learn(docs, usable if usable is not None else F.lit(True))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def identified(texts: pd.Series) -> pd.Series:
+        if not sent.value.classes:
+            return pd.Series([t is not None and any(map(str.isalpha, t)) for t in texts])
         lang, score = sent.value.predict([None if t is None else t for t in texts])
         return pd.Series([x != "und" and s >= least for x, s in zip(lang, score, strict=True)])
 

@@ -172,6 +172,19 @@ def test_batched_margins_equal_single_ones():
     assert np.allclose(language_id.batch_margins(texts, w), single, atol=1e-4)
 
 
+def test_three_hundred_languages():
+    rng, rows = np.random.default_rng(3), []
+    texts = {f"x{k:03d}": " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(12)) for k in range(300)}
+    for lang, text in texts.items():
+        x = language_id.shares(text)
+        at = np.flatnonzero(x)
+        rows += [(lang, (at.astype(np.uint16), x[at].astype(np.float32)))] * 2
+    model = language_id.fit(rows)
+    got, score = model.predict([*texts.values(), None, "123"])
+    assert got == [*texts, "und", "und"] and (score[:300] > 0).all() and score[300:].sum() == 0
+    assert len(model.pairs) < 3000
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     bad = ["moronic", "scumbag", "vileness"]
