@@ -5,11 +5,14 @@ with the fractional inclusion probability that is left. The cube method draws th
 through the probabilities of a source with a window of three documents: it moves them along the null-space of the two
 balancing constraints (token total and document total), up or down with the odds that keep every expectation, until one
 reaches 0 or 1 and the next document takes its place. So both totals are kept exactly during flight. At most two documents
-of a block stay fractional; they are flown again with those of other blocks, and only the last two of a source are left for
-landing, where the outcome nearest the expected totals is taken. Long documents fly first, so those left to land are short.
+of a block stay fractional. One block of a source waits until the others have flown and is flown last, with what these left, in
+tiers from long documents to short ones: the last one or two of a tier are drawn with their probabilities, and the words
+this puts the source over or under its target are taken off or added to the probabilities of all shorter ones. So every
+document keeps its expectation. Only LANDING documents of the shorter half don't fly; the outcome of these that is nearest the
+expected totals is taken.
 
 Scale. Only (doc_id, source, size) rows move. Blocks of about BLOCK documents are dealt by a hash of doc_id, so a source with a
-third of all rows is many blocks; each round leaves two documents of a block, and rounds go on until a source is one block.
+third of all rows is many blocks; each round leaves two documents of a block, and rounds go on until one block is left.
 Per-source totals are collected to the driver, at most MAX_SOURCES of them (a ValueError beyond).
 
 Defined cases. Null text has size 0, and so has text without words; such documents take part in the document total and
@@ -33,6 +36,8 @@ from .common import materialise
 
 BLOCK = 8192
 MAX_SOURCES = 200_000
+#: Documents of a source that landing decides on, by looking at every outcome.
+LANDING = 14
 EPS = 1e-9
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -94,40 +99,53 @@ def fly(size: np.ndarray, pi: np.ndarray, draws: np.ndarray) -> np.ndarray:
 
 
 def land(size: np.ndarray, pi: np.ndarray, want: float) -> np.ndarray:
-    """The outcome of the last (at most two) fractional documents that is nearest ``want`` tokens, then the document total.
-
-    What that misses is made up by the best exchange of a document of the block that is in for one that is out, if it helps.
-    """
+    """The outcome of the last (at most LANDING) fractional documents that is nearest ``want`` tokens, then the document total."""
     open_ = np.flatnonzero((pi > 0) & (pi < 1))
     closed = float((size * np.where((pi > 0) & (pi < 1), 0, pi)).sum())
-    best = min(
-        (tuple((m >> j) & 1 for j in range(len(open_))) for m in range(1 << len(open_))),
-        key=lambda o: (round(abs(closed + float((size[open_] * np.array(o)).sum()) - want), 6), abs(float((np.array(o) - pi[open_]).sum())), o),
-    )
+    outcomes = np.arange(1 << len(open_))[:, None] >> np.arange(len(open_)) & 1
+    missed = np.abs(closed + outcomes @ size[open_].astype(float) - want).round(6)
+    documents = np.abs(outcomes.sum(axis=1) - pi[open_].sum()).round(6)
     out = pi.copy()
-    out[open_] = best
-    over = float((size * out).sum()) - want
-    inside, outside = np.flatnonzero(out == 1), np.flatnonzero(out == 0)
-    if len(inside) and len(outside):
-        outside = outside[np.argsort(size[outside], kind="stable")]
-        near = np.searchsorted(size[outside], size[inside] - over)
-        choices = [(abs(over - size[i] + size[outside[k]]), i, outside[k]) for i, n in zip(inside, near, strict=True) for k in (n - 1, n) if 0 <= k < len(outside)]
-        left, i, j = min(choices, default=(np.inf, 0, 0))
-        if left < abs(over):
-            out[i], out[j] = 0.0, 1.0
+    out[open_] = outcomes[np.lexsort((documents, missed))[0]]
     return out
 
 
+def fly_down(size: np.ndarray, pi: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Flight of a source's last block and its landing. size falls."""
+    pi = pi.astype(float)
+    want = float((size * pi).sum())
+    half = size <= np.median(size[size > 0]) if (size > 0).any() else np.ones(len(size), dtype=bool)
+    tier = np.where(half, -1, np.floor(np.log2(np.maximum(size, 1))).astype(int))
+    short = np.flatnonzero(half & (size > 0) & (pi > 0) & (pi < 1))
+    pool = np.zeros(len(size), dtype=bool)
+    pool[short[np.unique(np.linspace(0, len(short) - 1, min(LANDING, len(short))).astype(int))]] = True
+    over = 0.0
+    for t in sorted(set(tier.tolist()), reverse=True):
+        rest = (tier <= t) & (pi > 0) & (pi < 1)
+        words = float(size[rest].sum())
+        if words and over:
+            moved = np.clip(pi[rest] - over / words, 0.0, 1.0)
+            over += float((size[rest] * (moved - pi[rest])).sum())
+            pi[rest] = moved
+        own = (tier == t) & ~pool
+        pi[own] = fly(size[own], pi[own], rng.random(2 * int(own.sum()) + 8))
+        left = own & (pi > 0) & (pi < 1)
+        if left.any():
+            p, u = pi[left], rng.random()
+            # of two, the second comes in where the first stays out, as far as their probabilities let it
+            drawn = np.array([u < p[0], u > 1 - p[-1]])[: len(p)]
+            over += float((size[left] * (drawn - pi[left])).sum())
+            pi[left] = drawn
+    return land(size, pi, want)
+
+
 def _flight(seed: int, names: list[str], last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "h", "doc_id"], ascending=[False, True, True], kind="stable", ignore_index=True)
         src, block = int(pdf["src"].iloc[0]), int(pdf["block"].iloc[0])
         rng = np.random.Generator(np.random.PCG64([seed, zlib.crc32(names[src].encode()), block, int(pdf["round"].iloc[0])]))
-        size = pdf["size"].to_numpy()
-        before = pdf["pi"].to_numpy()
-        pi = fly(size, before, rng.random(2 * len(pdf) + 8))
-        if last:
-            pi = land(size, pi, float((size * before).sum()))
+        size, before = pdf["size"].to_numpy(), pdf["pi"].to_numpy()
+        pi = fly_down(size, before, rng) if last else fly(size, before, rng.random(2 * len(pdf) + 8))
         return pdf[["doc_id", "src", "size", "copies"]].assign(pi=pi)[["doc_id", "src", "size", "pi", "copies"]]
 
     return run
@@ -157,20 +175,32 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
     sources = F.broadcast(spark.createDataFrame(plan, kind))  # at most MAX_SOURCES rows
     units = rows.withColumnRenamed("source", "own").join(sources, F.col("own").eqNullSafe(F.col("source"))).drop("own")
     done = units.where("pi = 0").select("doc_id", "src", "size", "pi", "copies")
-    blocks = {p[0]: p[6] for p in plan if p[5] > 0}
     names = ["" if r["source"] is None else "=" + r["source"] for r in found]
-    flying, turn = units.where("pi > 0").select("doc_id", "src", "size", "pi", "copies"), 0
-    while blocks:
-        last = max(blocks.values()) == 1
+    turn = 0
+
+    def flight(rows: DataFrame, blocks: dict[int, int], last: bool) -> DataFrame:
         table = F.broadcast(spark.createDataFrame([*blocks.items()], "src int, blocks int"))
-        keyed = flying.join(table, "src").withColumn("h", F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(seed + turn)))
+        keyed = rows.join(table, "src").withColumn("h", F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(seed + turn)))
         keyed = keyed.withColumn("block", F.pmod("h", F.col("blocks"))).withColumn("round", F.lit(turn)).drop("blocks")
-        flown = materialise(keyed.groupBy("src", "block").applyInPandas(_flight(seed, names, last), UNITS), "flight")
+        return materialise(keyed.groupBy("src", "block").applyInPandas(_flight(seed, names, last), UNITS), "flight")
+
+    fractional = units.where("pi > 0").withColumn("waits", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(seed - 1)), F.col("blocks")) == 0)
+    waiting = fractional.where("waits").select("doc_id", "src", "size", "pi", "copies")
+    flying = fractional.where("NOT waits").select("doc_id", "src", "size", "pi", "copies")
+    blocks = {p[0]: p[6] - 1 for p in plan if p[5] > 0 and p[6] > 1}
+    while blocks:
+        turn += 1
+        flown = flight(flying, blocks, False)
         done = done.unionByName(flown.where("pi = 0 OR pi = 1"))
         flying = flown.where("pi > 0 AND pi < 1")
-        if last:
-            break
-        blocks, turn = {s: -(-2 * b // BLOCK) for s, b in blocks.items()}, turn + 1
+        over = [s for s, b in blocks.items() if b == 1]
+        waiting = waiting.unionByName(flying.where(F.col("src").isin(over)))
+        flying = flying.where(~F.col("src").isin(over))
+        blocks = {s: -(-2 * b // BLOCK) for s, b in blocks.items() if b > 1}
+    turn += 1
+    ends = {p[0]: 1 for p in plan if p[5] > 0}
+    if ends:
+        done = done.unionByName(flight(waiting, ends, True))
     copies = (F.col("copies") + F.col("pi").cast("int")).alias("copies")
     out = done.select("doc_id", "src", "size", copies).join(sources.select("src", "source_size", "target"), "src")
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
