@@ -58,9 +58,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def map_whole_groups(
-    df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, order: list[str] | None = None
+    df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame | Iterator[pd.DataFrame]], schema: str, order: list[str] | None = None
 ) -> DataFrame:
-    """Run ``fn`` on frames that hold only whole groups of ``keys``, many groups a call.
+    """Run ``fn`` (which returns a frame or yields several) on frames that hold only whole groups of ``keys``, many groups a call.
 
     Rows are hash-partitioned and sorted by the keys (then ``order``); Spark spills that sort. A worker holds one Arrow batch
     and the group that crosses its end, so use it only for groups whose size is bounded (pairs of documents, one document).
@@ -78,10 +78,13 @@ def map_whole_groups(
             if same.all() and (not held or held[-1][keys].iloc[-1].tolist() == last):
                 held.append(pdf)
                 continue
-            yield fn(pd.concat([*held, pdf[~same]], ignore_index=True))
+            yield from frames(fn(pd.concat([*held, pdf[~same]], ignore_index=True)))
             held = [pdf[same]]
         if held:
-            yield fn(pd.concat(held, ignore_index=True))
+            yield from frames(fn(pd.concat(held, ignore_index=True)))
+
+    def frames(made: pd.DataFrame | Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return iter([made]) if isinstance(made, pd.DataFrame) else made
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *(order or [])).mapInPandas(run, schema)
 
@@ -117,13 +120,16 @@ def column_or_null(df: DataFrame, name: str, kind: str):
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
-    """``rows`` joined with their group (inner); groups has one row a key and its number of rows in ``size``.
+    """``rows`` joined with their group (inner); groups has the number of rows of each key in ``size``.
 
     Keys with more than 1/HEAVY_KEYS of ``total`` rows, HEAVY_KEYS at most, are broadcast; the others are shuffled.
     """
-    heavy = F.broadcast(groups.where(F.col(size) * HEAVY_KEYS > F.lit(total)))
-    hot = rows.join(heavy, key)
-    cold = rows.join(heavy.select(key), key, "left_anti").join(groups.where(F.col(size) * HEAVY_KEYS <= F.lit(total)), key)
+    is_heavy = F.col(size) * HEAVY_KEYS > F.lit(total)
+    heavy = [r[0] for r in groups.where(is_heavy).select(key).distinct().collect()]
+    if not heavy:
+        return rows.join(groups, key)
+    hot = rows.where(F.col(key).isin(heavy)).join(F.broadcast(groups.where(is_heavy)), key)
+    cold = rows.where(~F.col(key).isin(heavy)).join(groups.where(~is_heavy), key)
     return hot.unionByName(cold.select(*hot.columns))
 
 
