@@ -9,9 +9,9 @@ start at one word the longest counts. The weights found, over the text's length
 logistic curve fitted on the same labelled documents.
 
 Fitting. At most MAX_TOXIC toxic and MAX_CLEAN clean labelled documents are used, those with the smallest hash of doc_id;
-equal texts count once. Scoring reads every whole text.
+equal texts count once. Entries and exceptions are all that LEAST_DOCS (EXCEPTION_DOCS) documents of this sample have. Scoring reads every whole text.
 
-Scale. Scoring is one pass over the texts without a shuffle; the lexicon has at most MAX_ENTRIES entries.
+Scale. Scoring is one pass over the texts without a shuffle; the lexicon is bounded by the sample.
 
 Defined cases. Null and empty text scores as a text without hits. Without labels of both kinds every score is the share of
 toxic labels (0 without labels). Null labels don't count; of several labels of a document the largest holds. Rows that repeat
@@ -33,8 +33,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_TOXIC, MAX_CLEAN = 2500, 6000
-MAX_ENTRIES = 4000
-MAX_CANDIDATES = 60_000
 LEAST_DOCS = 5
 LEAST_RATIO = 1.5
 PREFIXES = range(4, 9)
@@ -49,6 +47,7 @@ NO_WIDTH = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 
 FOLD = str.maketrans(LOOKALIKES[::2] + DIGITS[::2], LOOKALIKES[1::2] + DIGITS[1::2], NO_WIDTH)
 WORDS = re.compile(r"[^\W\d_]+")
+LETTER = re.compile(r"[^\W\d_]")
 
 
 def fold(text: str) -> str:
@@ -64,6 +63,17 @@ def entries_of(word: str) -> Iterator[str]:
             yield word[:n] + "*"
 
 
+def word_before(text: str, start: int) -> str:
+    """The last whole word before ``start``; empty if there is none."""
+    end = start
+    while end and not LETTER.match(text, end - 1):
+        end -= 1
+    begin = end
+    while begin and LETTER.match(text, begin - 1):
+        begin -= 1
+    return text[begin:end]
+
+
 class Lexicon:
     def __init__(self, weights: dict[str, float], exceptions: set[str], curve: np.ndarray):
         """weights: by entry, as entries_of() names them. exceptions: phrases of two words. curve: of the logistic."""
@@ -101,8 +111,7 @@ class Lexicon:
         if self.exceptions:
             for start in list(best):
                 word = WORDS.match(text, start).group()
-                before = WORDS.findall(text[max(0, start - 40) : start])
-                if before and f"{before[-1]} {word}" in self.exceptions:
+                if f"{word_before(text, start)} {word}" in self.exceptions:
                     del best[start]
         return sum(w for _, w in best.values())
 
@@ -150,8 +159,6 @@ def choose(stats: dict[str, tuple[int, int, int]], n_toxic: int, n_clean: int) -
             continue
         same.add(key)
         kept[e] = ratio[e]
-        if len(kept) == MAX_ENTRIES:
-            break
     return kept
 
 
@@ -200,7 +207,7 @@ def _learn(sample: DataFrame) -> Lexicon:
         share = min(max(n1 / max(1, n1 + n0), 1e-6), 1 - 1e-6)
         return Lexicon({}, set(), np.array([0.0] * N_MEASURES + [math.log(share / (1 - share))]))
     toxic = _counted(sample.where("toxic = 1"), None).where(f"entry = '' OR docs >= {LEAST_DOCS}")
-    got = {r["entry"]: (r["docs"], r["times"]) for r in toxic.orderBy(F.desc("docs"), "entry").limit(MAX_CANDIDATES).collect()}
+    got = {r["entry"]: (r["docs"], r["times"]) for r in toxic.collect()}
     words1 = toxic.where("entry = ''").collect()[0]["times"]
     got.pop("", None)
     clean = {r["entry"]: r["times"] for r in _counted(sample.where("toxic = 0"), set(got)).collect()}
@@ -234,7 +241,7 @@ def _exceptions(sample: DataFrame, weights: dict[str, float]) -> set[str]:
 
     phrases = sample.mapInPandas(run, "phrase string, toxic int").groupBy("phrase")
     counted = phrases.agg(F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("bad"))
-    rows = counted.where(f"clean >= {EXCEPTION_DOCS} AND bad = 0").orderBy(F.desc("clean"), "phrase").limit(MAX_ENTRIES).collect()
+    rows = counted.where(f"clean >= {EXCEPTION_DOCS} AND bad = 0").collect()
     return {r["phrase"] for r in rows}
 
 
