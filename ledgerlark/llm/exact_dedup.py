@@ -11,8 +11,8 @@ Scale. Only (doc_id, digest) rows move, never texts. Groups are combined before
 the table is one row per task there. Row lookups of the few digests with more than 1/HEAVY_KEYS of all rows (at most
 HEAVY_KEYS of them, whatever the size of the data) go through a broadcast; the others are dealt by shard.
 
-Defined cases. Null text counts as the empty text. Rows that repeat both doc_id and text are one document. A null doc_id
-loses to any other. An empty table gives an empty result. Extra columns are ignored by :func:`exact_groups` and
+Defined cases. Null text counts as the empty text. Rows that repeat both doc_id and text count one by one in :func:`exact_groups`, and one of
+them stays in :func:`drop_exact_copies`. A null doc_id loses to any other. An empty table gives an empty result. Extra columns are ignored by :func:`exact_groups` and
 kept by :func:`drop_exact_copies`.
 """
 
@@ -192,7 +192,7 @@ def exact_groups(docs: DataFrame, history: Column | None = None) -> DataFrame:
     doc_id. The result doesn't depend on it, only the path does.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"))
     seen = F.coalesce(history if history is not None else F.xxhash64("doc_id") < 0, F.lit(False))
     rows = materialise(rows.withColumn("seen", seen), "digests")
     total = rows.count()
@@ -209,7 +209,8 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     Of rows that repeat both doc_id and text one stays; texts are shuffled for that only where such rows exist.
     """
     groups = materialise(exact_groups(docs), "exact-groups")
-    if docs.count() > groups.count():
+    winners = groups.where("kept").select("doc_id", "digest")
+    if winners.count() > winners.distinct().count():
         docs = docs.dropDuplicates(["doc_id", "text"])
     dropped = groups.where("NOT kept").select(F.col("doc_id").alias("__dropped"))
     return docs.join(dropped, docs["doc_id"].cast("long").eqNullSafe(dropped["__dropped"]), "left_anti")

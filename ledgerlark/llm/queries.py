@@ -77,7 +77,7 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     kept = F.lower(F.coalesce(F.sha2("kept", 256), F.hex("digest"))).alias("kept_sha256")
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", kept)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", kept, (F.col("n_removed") > 0).alias("removed"))
 
 
 QUERIES = {

@@ -250,3 +250,25 @@ def test_cascade_is_exact():
     levels = url_filter.build_cascade(set(keys[::97]), set(keys) - set(keys[::97]))
     assert len(levels) > 1 and [k for k in keys if url_filter.is_listed(k, levels)] == keys[::97]
     assert url_filter.build_cascade(set(), set(keys)) == [] and not url_filter.is_listed("x", [])
+
+
+def test_top_k_of_large_components_and_repeated_rows(spark):
+    rows = [(50, [1e7, 0.0]), (1, [1e7, 1.0]), (2, [1e6, 0.0]), (2, [1e6, 0.0]), (50, [0.0, 1.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    first = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == 50 and r["score"] > 10**9)
+    assert first == [(1, 1, 2560000000 * 2560000000), (2, 2, 2560000000 * 256000000), (3, 2, 2560000000 * 256000000)]
+    assert len(got) == 8  # each of the two rows with id 50 meets the four others
+
+
+def test_mix_meets_targets_beside_a_giant(spark):
+    rng = np.random.default_rng(4)
+    sizes = [(20000, "a")] + [(int(n), s) for s in "ab" for n in rng.integers(20, 600, 300)]
+    df = spark.createDataFrame([(i, "w " * n, s) for i, (n, s) in enumerate(sizes)], "doc_id long, text string, source string")
+    for seed in (1, 2, 3):
+        out = mixing.mix_sources(df, seed=seed).join(df.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("g")).collect()
+        assert all(abs(r["t"] - r["g"]) <= 300 for r in out)
+
+
+def test_exception_with_a_long_word_before():
+    lexicon = toxicity.Lexicon({"=bad": 1.0}, {"x" * 60 + " bad"}, np.zeros(toxicity.N_MEASURES + 1))
+    assert lexicon.total("x" * 60 + " bad") == 0 and lexicon.total("bad") == 1.0
