@@ -26,8 +26,10 @@ CONJUNCTS = (("ज्ञ", "ग्य"), ("क्ष", "छ"), ("ऋ", "रि")
 
 # The Latin letter a Devanagari character sounds like.
 SOUNDS = {
-    "कख": "k", "गघ": "g", "ङञणनंँ": "n", "जझ": "j", "टठतथ": "t", "डढदध": "d", "पफ": "p", "बभ": "b", "म": "m", "य": "y", "र": "r",
-    "ल": "l", "व": "v", "शषस": "s", "ह": "h", "अआा": "a", "इईिी": "i", "उऊुू": "u", "एऐेै": "e", "ओऔोौ": "o",
+    "क": "k", "ख": "k", "ग": "g", "घ": "g", "ङ": "n", "ज": "j", "झ": "j", "ञ": "n", "ट": "t", "ठ": "t", "ड": "d", "ढ": "d", "ण": "n",
+    "त": "t", "थ": "t", "द": "d", "ध": "d", "न": "n", "प": "p", "फ": "p", "ब": "b", "भ": "b", "म": "m", "य": "y", "र": "r", "ल": "l",
+    "व": "v", "श": "s", "ष": "s", "स": "s", "ह": "h", "ं": "n", "ँ": "n", "अ": "a", "आ": "a", "ा": "a", "इ": "i", "ई": "i", "ि": "i",
+    "ी": "i", "उ": "u", "ऊ": "u", "ु": "u", "ू": "u", "ए": "e", "ऐ": "e", "े": "e", "ै": "e", "ओ": "o", "औ": "o", "ौ": "o", "ो": "o",
 }
 # Pairs of Latin letters that sound like one, in order.
 DIGRAPHS = (("ee", "i"), ("oo", "u"), ("aa", "a"), ("sh", "s"), ("th", "t"), ("dh", "d"), ("bh", "b"), ("ph", "p"), ("kh", "k"), ("gh", "h"), ("ch", "c"))
@@ -53,8 +55,10 @@ HONORIFICS = ("श्री", "श्रीमती", "कु०", "कु0", "
 # Format of an id: three letters and seven digits, or parts with slashes.
 MODERN_ID = r"^[A-Z]{3}[0-9]{7}$"
 SLASH_ID = r"^[A-Z]{2}/\d{1,3}/\d{1,4}/\d{3,8}$"
-# Marks of a deleted record.
-DELETION_MARK = r"(?i)(D\s*E\s*L\s*E\s*T\s*E?\s*[DO0]?|\b[BP]ELETED?\b|\bVILOPIT\b|\bCANCEL(LED)?\b|वि\s*ल[ेो]\s*पि\s*त|नि\s*र\s*स्त)"
+# Words that mark a deleted record, found with spaces between their letters too.
+DELETION_WORDS = ("deleted", "deleto", "delet", "विलोपित", "विलेपित", "निरस्त")
+# Words that mark one where they stand alone.
+LONE_DELETION_WORDS = ("belete", "beleted", "pelete", "peleted", "vilopit", "cancel", "cancelled")
 # Characters that are noise at either end of a name.
 EDGE_NOISE = r"[\s:\-–—.*|]+"
 
@@ -82,8 +86,7 @@ def fold_devanagari(text: Column) -> Column:
 
 def phonetic_key(text: Column) -> Column:
     """Sound classes of each word, separated by spaces: the first sound, then consonant classes without repeats."""
-    source, target = ("".join(x) for x in zip(*((c, s) for group, s in SOUNDS.items() for c in group), strict=True))
-    latin = F.translate(F.lower(text), source, target)
+    latin = F.translate(F.lower(text), "".join(SOUNDS), "".join(SOUNDS.values()))
     latin = F.regexp_replace(F.regexp_replace(F.regexp_replace(latin, "[चछ]", "ch"), "ऋ", "ri"), r"[^a-z\s]", "")
     words = F.filter(F.split(F.trim(F.regexp_replace(latin, r"\s+", " ")), " "), lambda w: w != "")
     return F.array_join(F.filter(F.transform(words, _word_key), lambda k: k.isNotNull()), " ")
@@ -136,34 +139,46 @@ def id_defect(text: Column) -> Column:
     return F.struct(kind.isin("LEGACY_VALID", "STANDARD_VALID").alias("valid"), kind.alias("type"), n.alias("length"))
 
 
+# The head of a slashed id whose own is unreadable; digits that letters are misread for, in the digits and as a fourth letter.
+DEFAULT_HEAD = "UP"
+READ_AS_DIGITS = ("OIL|", "0111")
+FOURTH_AS_DIGIT = ("OILZBSG", "0112856")
+
+
 def clean_id(text: Column, known_prefixes: tuple[str, ...] = ()) -> Column:
-    """The id in a noisy text: the first of the strict forms, the forms with symbols repaired, the form with digits misread.
+    """The id in a noisy text; empty if there is none.
 
-    known_prefixes: three-letter prefixes that are trusted where a fourth letter stands before or after one. Empty if none fits.
+    In this order: three letters and seven digits as a word; four parts with slashes (bars, colons and backslashes count as such, but
+    then and where the first part isn't two letters the head is DEFAULT_HEAD); two to four letters and digits some of which are misread.
+    Of four letters the fourth is a digit if that makes seven, and the first is noise if the rest is one of known_prefixes.
     """
-    raw = F.coalesce(text, F.lit(""))
-    part = lambda c, pattern, k=1: F.regexp_extract(c, pattern, k)
-    or_null = lambda c: F.when(c != "", c)
-    strict = F.concat(F.upper(part(raw, r"\b([A-Za-z]{3})[\s\-_]*([0-9]{7})\b")), part(raw, r"\b([A-Za-z]{3})[\s\-_]*([0-9]{7})\b", 2))
-    slashed = r"([A-Za-z]{2}/\d{1,3}/\d{1,4}/\d{3,8})"
-    bare = F.replace(F.regexp_replace(raw, "['`\" ~]", ""), F.lit("¥"), F.lit("Y"))
-    mended = F.regexp_replace(bare, r"[A-Za-z]{2}[|\\:](\d{1,3})[|\\:](\d{1,4})[|\\:](\d{3,8})", "UP/$1/$2/$3")
-    loose = part(bare, r"[A-Za-z0-9]{1,4}(/\d{1,4}/\d{1,4}/\d{3,8})")
-    pattern = r"([A-Za-z]{2,4})[\s.\-_]*([0-9OoIl|]{5,9})"
-    tail = F.regexp_replace(bare, r"[|\\/]+$", "")
-    prefix = F.upper(part(tail, pattern))
-    digits = F.translate(F.regexp_replace(part(tail, pattern, 2), r"[|]+$", ""), "OoIl|", "00111")
-    fourth = F.translate(F.substring(prefix, 4, 1), "OILZBSG", "0112856")
-    four = F.length(prefix) == 4
-    known = F.lit(False) if not known_prefixes else F.substring(prefix, 2, 3).isin(*known_prefixes)
-    misread = F.when(four & known, F.concat(F.substring(prefix, 2, 3), digits)).when(
-        four & fourth.rlike("[0-9]") & (F.length(digits) == 6), F.concat(F.substring(prefix, 1, 3), fourth, digits)
-    )
-    misread = misread.otherwise(F.concat(prefix, digits))
-    return F.coalesce(
-        or_null(strict), or_null(F.upper(part(raw, rf"\b{slashed}\b"))), or_null(F.upper(part(mended, slashed))),
-        F.when(loose != "", F.concat(F.lit("UP"), loose)), F.when(prefix != "", misread), F.lit(""),
-    )
+    raw = F.upper(F.coalesce(text, F.lit("")))
+    bare = F.translate(raw, "¥'`\" ~", "Y")
+    word = F.regexp_extract_all(raw, F.lit(r"(?<![A-Z0-9_])[A-Z]{3}[\s_-]*[0-9]{7}(?![A-Z0-9_])"), F.lit(0))
+    plain = F.regexp_replace(F.try_element_at(word, F.lit(1)), r"[\s_-]", "")
+
+    def slashed(t: Column, own_head: bool) -> Column:
+        runs = F.transform(F.regexp_extract_all(t, F.lit(r"[A-Z0-9]+(?:/[0-9]+){3}"), F.lit(0)), lambda r: F.split(r, "/"))
+        fits = lambda p: (F.length(p[1]) <= 4) & (F.length(p[2]) <= 4) & F.length(p[3]).between(3, 8)
+        two = lambda p: F.regexp_extract(p[0], "[A-Z]{2}$", 0)
+        if own_head:
+            runs = F.filter(runs, lambda p: fits(p) & (two(p) != "") & (F.length(p[1]) <= 3))
+        else:
+            runs = F.filter(runs, fits)
+        p = F.try_element_at(runs, F.lit(1))
+        head = two(p) if own_head else F.lit(DEFAULT_HEAD)
+        return F.concat_ws("/", head, p[1], p[2], F.substring(p[3], 1, 8)), p.isNotNull()
+
+    pieces = F.regexp_extract_all(F.regexp_replace(bare, r"[._-]", ""), F.lit(r"[A-Z]{2,4}[0-9OIL|]{5,9}"), F.lit(0))
+    piece = F.try_element_at(pieces, F.lit(1))
+    letters = F.regexp_extract(piece, r"^[A-Z]{2,4}(?=[0-9OIL|]{5})", 0)
+    digits = F.translate(F.rtrim(F.substr(piece, F.length(letters) + 1), F.lit("|")), *READ_AS_DIGITS)
+    first, fourth = F.substring(letters, 1, 3), F.translate(F.substring(letters, 4, 1), *FOURTH_AS_DIGIT)
+    four = F.length(letters) == 4
+    known = four & F.substring(letters, 2, 3).isin(*known_prefixes) if known_prefixes else F.lit(False)
+    misread = F.when(known, F.concat(F.substring(letters, 2, 3), digits)).when(four & fourth.between("0", "9") & (F.length(digits) == 6), F.concat(first, fourth, digits))
+    (own, has_own), (other, has_other) = slashed(bare, True), slashed(F.translate(bare, "|\\:", "///"), False)
+    return F.coalesce(plain, F.when(has_own, own), F.when(has_other, other), misread, F.concat(letters, digits), F.lit(""))
 
 
 def has_real_id(text: Column) -> Column:
@@ -172,39 +187,51 @@ def has_real_id(text: Column) -> Column:
     return (F.length(t) >= 6) & ~t.isin(*ID_PLACEHOLDERS) & t.rlike(r"\p{Nd}") & t.rlike(r"\p{L}")
 
 
-# Rewrites of a house number, in order. Groups: leaked relations and labels, digits misread as bars, padding, separators, sub-letters.
-HOUSE_REWRITES = (
-    (r"(?i)(आयु|उम्र|Age|लिंग|Gender).*$", ""),
-    (r"\s+[।॥|!\])\-–:]+\s*$", ""),
-    (r"^[।|!\]Il]$", "1"),
-    (r"[।॥]", "1"),
-    (r"^[\]|!Il()\[}]+(?=[\u0905-\u0939\d])", "1"),
-    (r"(?<=\d)[\]|!Il()\[}]+(?=\d)", "/"),
-    (r"(?<=\d)[\]|!Il()\[}]+(?=[\u0905-\u0939]|$)", "1"),
-    (r"(?i)\[?\s*(फोटो|Photo|उपलब्ध|Not\s*Available|Available)\s*(है|हो)?\s*\]?", ""),
-    (r"(?i)^(Flat|Room|Quarter|Qtr|मकान|गृह|कमरा|फ्लैट|हाउस|संख्या)\s*(नं[०.]?|नम्बर|नंबर|संख्या|No\.?)?\s*[:\-–.,]?\s*", ""),
-    (r"(?i)[,/]?\s*(mohalla|ward|मोहल्ला|वार्ड|कॉलोनी|मार्ग|गली|रोड|सड़क|नगर|पोस्ट|मंदिर|भवन|निवास).*$", ""),
-    (r"(\d+?)0{3,}.*$", "$1"),
-    (r"[><+~*|!”\"“'`#?@^&;_()\[\]{}]+", " "),
-    (r"(\b[1-9]\d*)\s*[\s\-–/]\s*0+\b", "$1"),
-    (r"(?<=\d)\s+(?=\d/)", ""),
-    (r"(?<=\d)\s*/\s*(?=\d)", "/"),
-    (r"(?<=\d)\s+(?=[1-9]\b)", "/"),
-    (r"\s+[\u0900-\u097F]{2,}\s*$", ""),
-    (r"^\s*0+(?=[1-9])", ""),
-    (r"(?<=\d)\s+(?=[\u0900-\u097F])", ""),
-    (r"\s*([/\-])\s*", "$1"),
-    (r"(?<=\d)[\u0900-\u097F]{2,}.*$", ""),
-)
-HOUSE_LEAK = r"(?i)(^|\W)(एस\s*/\s*ओ|डब्ल्यू\s*/\s*ओ|डी\s*/\s*ओ|[swdc]\s*/\s*o)(\W|$)"
+# Signs that a digit 1 is misread for in house numbers and ages.
+BARS = "।॥|!][Il(){}"
+# Words after which nothing belongs to the house number.
+HOUSE_STOPS = (
+    "आयु", "उम्र", "age", "लिंग", "gender", "mohalla", "ward", "मोहल्ला", "वार्ड", "कॉलोनी", "मार्ग", "गली", "रोड", "सड़क", "नगर", "पोस्ट", "मंदिर", "भवन", "निवास",
+)
+# Fixed values: "son of" and the like, which leak into the field.
+LEAKED_RELATIONS = ("s/o", "w/o", "d/o", "c/o", "एस/ओ", "डब्ल्यू/ओ", "डी/ओ")
 
 
 def clean_house(text: Column) -> Column:
-    """A house number without misread bars, labels, addresses and padding; empty where no digit is left. '--' is kept."""
+    """A house number; empty where no digit is left or a relation leaked in. '--' is kept.
+
+    The text is read token by token: digit runs lose leading zeros, and one of zeros only after a number is padding; two numbers in
+    a row are parted by a slash; a bar is the digit 1 at the start and after a number, but a slash between two numbers; words
+    before the number are labels; a letter or Latin word after it is its part, a longer word ends it, and so do HOUSE_STOPS.
+    """
     raw = digits_to_ascii(F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), "[\u200c\u200d\ufeff]", ""))
-    done = F.regexp_replace(F.trim(_fold(raw, HOUSE_REWRITES)), r"^[–\-:.\s,/]+|[–\-:.\s,/]+$", "")
-    done = collapse(done)
-    return F.when(raw.isin("--", "-", "—", "–"), "--").when(raw.rlike(HOUSE_LEAK) | ~done.rlike(r"\d"), "").otherwise(done)
+    tokens = F.regexp_extract_all(raw, F.lit(r"[0-9]+|[Il]+(?![A-Za-z])|[A-Za-z]+|[\u0904-\u0963\u0970-\u097F]+|[/–-]|[।॥|!\]\[(){}]+"), F.lit(0))
+    first, between, end = "\u0001", "\u0002", "\u0003"
+
+    def read(so_far: Column, t: Column) -> Column:
+        number = t.rlike("^[0-9]")
+        value = F.regexp_replace(F.regexp_replace(t, "^0+(?=[0-9])", ""), "(?<=[1-9])0{3,}$", "")
+        bar = F.translate(t, BARS, "") == ""
+        after_number, after_sign = so_far.rlike("[0-9]$"), so_far.rlike("[/-]$")
+        stop = F.lower(t).isin(*HOUSE_STOPS)
+        letter = (F.length(t) == 1) | t.rlike("^[A-Za-z]")
+        return (
+            F.when(so_far.endswith(end), so_far)
+            .when(stop | (~number & ~bar & ~letter & so_far.rlike("[0-9]")), F.concat(so_far, F.lit(end)))
+            .when(number & (value == "0") & so_far.rlike("[0-9]"), F.regexp_replace(so_far, "[/-]$", ""))
+            .when(number, F.concat(so_far, F.when(after_number, "/").otherwise(""), value))
+            .when(t.isin("/", "-", "–"), F.when(after_number | so_far.rlike(r"\p{L}$"), F.concat(so_far, F.translate(t, "–", "-"))).otherwise(so_far))
+            .when(bar, F.when(so_far == "", first).when(after_number, F.concat(so_far, F.lit(between))).otherwise(so_far))
+            .when(letter & (after_number | after_sign | so_far.endswith(between)), F.concat(so_far, t))
+            .otherwise(so_far)
+        )
+
+    whole = F.aggregate(tokens, F.lit(""), read)
+    whole = F.regexp_replace(F.regexp_replace(whole, f"{between}(?=[0-9])", "/"), f"[{first}{between}]", "1")
+    done = F.regexp_replace(whole, f"[/-]*{end}?$", "")
+    closed = F.regexp_replace(F.lower(raw), r"\s*/\s*", "/")
+    leaked = F.arrays_overlap(F.regexp_extract_all(closed, F.lit(r"[\p{L}\p{M}]+/[\p{L}\p{M}]+"), F.lit(0)), F.array(*[F.lit(w) for w in LEAKED_RELATIONS]))
+    return F.when(raw.isin("--", "-", "—", "–"), "--").when(leaked | ~done.rlike("[0-9]"), "").otherwise(done)
 
 
 def house_key(text: Column) -> Column:
@@ -266,19 +293,33 @@ def are_kin(name_a: Column, rel_a: Column, kind_a: Column, name_b: Column, rel_b
     return same_person_name(rel_a, name_b) | same_person_name(rel_b, name_a) | F.coalesce(shared & fits, F.lit(False))
 
 
+# Labels before an age, two of them misread; words that follow one.
+AGE_LABELS = ("आयु", "उम्र", "age", "arg", "org")
+AFTER_AGE = ("लिंग", "gender", "fer", "fem", "male", "pur", "mah")
+
+
 def age_in(text: Column) -> Column:
-    """The age (18-120) a text states: after a label, or two digits before a gender word; digits misread as bars are repaired."""
-    label = r"(?i)(?:आयु|उम्र|Age|arg|org)\s*[:\-–.]?\s*([0-9०-९\u0964\u0965|!/\]\[lI()oO.]+)"
-    before = r"(?i)\b([1-9][0-9])\s*(?:लिंग|Gender|fer|fem|male|pur|mah)"
-    found = F.coalesce(F.nullif(F.regexp_extract(text, label, 1), F.lit("")), F.nullif(F.regexp_extract(text, before, 1), F.lit("")))
-    plain = _fold(digits_to_ascii(F.replace(found, F.lit("\u0965"), F.lit("11"))), ((r"[\u0964\]\[|!/lI)(]", "1"), ("[oO]", "0")))
-    value = F.regexp_extract(plain, r"\d+", 0).try_cast("int")
-    value = F.when((value > 120) & (value % 100 == 11), F.floor(value / 10).cast("int")).otherwise(value)
-    return F.when(value.between(18, 120), value).when(value == 9, 19).when(value.between(2, 8), value * 10 + 1).cast("int")
+    """The age (18-120) a text states: after a label, or two digits before a gender word; bars and letters in it are read as digits.
+
+    Above 120 a closing 11 is a bar read twice. Single digits lost their second: 9 is 19, 2 to 8 end in 1.
+    """
+    low = F.lower(text)
+    labelled = F.regexp_extract(low, f"(?:{'|'.join(AGE_LABELS)})\\W{{0,3}}?([0-9०-९।॥|!/\\]\\[li()o.]+)", 1)
+    followed = F.regexp_extract(low, f"(?<![0-9])([1-9][0-9])\\s*(?:{'|'.join(AFTER_AGE)})", 1)
+    stated = F.coalesce(F.nullif(labelled, F.lit("")), F.nullif(followed, F.lit("")))
+    read = F.translate(digits_to_ascii(F.replace(stated, F.lit("॥"), F.lit("11"))), "।|!/][li()o", "11111111110")
+    n = F.try_element_at(F.regexp_extract_all(read, F.lit("[0-9]+"), F.lit(0)), F.lit(1)).try_cast("int")
+    n = F.when((n > 120) & (n % 100 == 11), F.floor(n / 10).cast("int")).otherwise(n)
+    return F.when(n.between(18, 120), n).when(n == 9, 19).when(n.between(2, 8), n * 10 + 1).cast("int")
 
 
 def is_marked_deleted(text: Column) -> Column:
-    return F.coalesce(text.rlike(DELETION_MARK), F.lit(False))
+    """Whether a word of the lists above is in the text, however it is spaced or cased."""
+    low = F.lower(text)
+    closed = F.regexp_replace(low, r"\s+", "")
+    spaced = reduce(lambda a, b: a | b, [closed.contains(w) for w in DELETION_WORDS])
+    alone = F.arrays_overlap(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0)), F.array(*[F.lit(w) for w in LONE_DELETION_WORDS]))
+    return F.coalesce(spaced | alone, F.lit(False))
 
 
 def leading_int(text: Column) -> Column:

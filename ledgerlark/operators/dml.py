@@ -20,19 +20,20 @@ def upsert(current: DataFrame, delta: DataFrame, keys: list[str], order: str) ->
 
 
 def identity_matches(current: DataFrame, batch: DataFrame, current_id: str, batch_id: str, rules: list[tuple[list[tuple[Column, Column]], Column | None]]) -> DataFrame:
-    """Which current row each batch row is, by the first rule that holds: batch_id, current_id, rule.
+    """Which current row each batch row is: batch_id, current_id, rule (from 1).
 
-    A current row is hit once: by the batch row whose rule is earliest, then with the least id. A batch row that loses it is an
-    insert, as it would be to a system that goes through the batch row by row in that order.
+    The rules are applied one after the other to the batch rows and current rows that are left: each batch row names the least current
+    id that fits, and of several that name one the least batch id gets it. A batch row that loses a target goes on to the next rule,
+    and is an insert after the last.
     """
-    parts = []
+    done = None
     for k, (keys, more) in enumerate(rules, 1):
+        free, open_ = (current, batch) if done is None else (current.join(done.select(current_id), current_id, "left_anti"), batch.join(done.select(batch_id), batch_id, "left_anti"))
         on = reduce(lambda a, b: a & b, [a == b for a, b in keys])
-        met = batch.join(current, on if more is None else on & more)
-        parts.append(met.groupBy(batch_id).agg(F.min(current_id).alias(current_id)).withColumn("rule", F.lit(k)))
-    first = reduce(DataFrame.unionByName, parts).groupBy(batch_id).agg(F.min(F.struct("rule", current_id)).alias("m")).select(batch_id, "m.*")
-    n = F.row_number().over(Window.partitionBy(current_id).orderBy("rule", batch_id))
-    return first.withColumn("__n", n).where("__n = 1").drop("__n")
+        named = open_.join(free, on if more is None else on & more).groupBy(batch_id).agg(F.min(current_id).alias(current_id))
+        won = named.groupBy(current_id).agg(F.min(batch_id).alias(batch_id)).select(batch_id, current_id, F.lit(k).alias("rule"))
+        done = won if done is None else done.unionByName(won)
+    return done
 
 
 def merge_columns(new: Column, old: Column, policy: str) -> Column:

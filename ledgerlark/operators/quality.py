@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from string import ascii_letters
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,24 +24,67 @@ class Rule:
     group: str = ""
 
 
-def score(rules: list[Rule], exempt: Column | None = None) -> tuple[Column, Column]:
-    """(score from 100 down to 0, names of the rules that hold); exempt rows score 100 and have none."""
-    hits, earlier = [], {}
+def hits(rules: list[Rule], exempt: Column | None = None) -> Column:
+    """Names of the rules that hold, in order; none for exempt rows."""
+    found, earlier = [], {}
     for r in rules:
         holds = F.coalesce(r.holds, F.lit(False))
         mine = holds & ~earlier[r.group] if r.group in earlier else holds
         if r.group:
             earlier[r.group] = earlier[r.group] | holds if r.group in earlier else holds
-        hits.append((r, mine & ~F.coalesce(exempt, F.lit(False)) if exempt is not None else mine))
-    lost = sum((F.when(h, r.points).otherwise(0) for r, h in hits), F.lit(0))
-    return F.greatest(F.lit(100) - lost, F.lit(0)), F.array_compact(F.array(*[F.when(h, r.name) for r, h in hits]))
+        found.append(F.when(mine, r.name))
+    names = F.array_compact(F.array(*found))
+    return names if exempt is None else F.when(F.coalesce(exempt, F.lit(False)), F.array().cast("array<string>")).otherwise(names)
+
+
+def points(defects: Column, rules: list[Rule]) -> Column:
+    """The score from 100 down to 0 that a record with these defects has."""
+    lost = F.aggregate(defects, F.lit(0), lambda sum_, name: sum_ + F.coalesce(*[F.when(name == r.name, r.points) for r in rules], F.lit(0)))
+    return F.greatest(F.lit(100) - lost, F.lit(0))
+
+
+def score(rules: list[Rule], exempt: Column | None = None) -> tuple[Column, Column]:
+    """(score, names of the rules that hold) as two columns that don't share their work; see with_quality() for both at once."""
+    names = hits(rules, exempt)
+    return points(names, rules), names
 
 
 def is_perfect(points: Column, defects: Column) -> Column:
     return (points >= 95) & (F.size(defects) == 0)
 
 
-SYMBOLS = r"[|!~*_\\/^;:+?=<>{}\[\]\"'`,]"
+# Signs that no name has; labels that stand before a name or a relation; words of a house number that was not read.
+SYMBOLS = "|!~*_\\/^;:+?=<>{}[]\"'`,"
+NAME_LABELS = ("नाम", "निर्वाचक", "पुत्र", "पत्नी")
+RELATION_LABELS = ("पिता", "पति", "माता", "अन्य")
+UNREAD_HOUSE = ("उपलब्ध", "धर", "फोटो", "om", "००")
+
+
+def has_latin(text: Column) -> Column:
+    """Whether an ASCII letter is in it."""
+    return F.translate(text, ascii_letters, "") != text
+
+
+def has_symbol(text: Column) -> Column:
+    return F.translate(text, SYMBOLS, "") != text
+
+
+def begins_with_label(text: Column, labels: tuple[str, ...]) -> Column:
+    words = F.split(T.collapse(text), " ")
+    return words[0].isin(*labels)
+
+
+def unread_house(house: Column) -> Column:
+    low = F.lower(house)
+    return reduce(lambda a, b: a | b, [low.contains(w) for w in UNREAD_HOUSE])
+
+
+def lone_zero(name: Column) -> Column:
+    """A 0 that touches no consonant."""
+    consonant = lambda c: c.between("क", "ह")
+    letters = F.split(F.concat(F.lit(" "), name, F.lit(" ")), "")
+    at = F.transform(letters, lambda c, i: F.when(c == "0", i))
+    return F.exists(at, lambda i: i.isNotNull() & ~consonant(F.get(letters, i - 1)) & ~consonant(F.get(letters, i + 1)))
 
 
 def registry_rules(markers: tuple[str, ...] = ()) -> list[Rule]:
@@ -49,29 +94,37 @@ def registry_rules(markers: tuple[str, ...] = ()) -> list[Rule]:
     name, rel, house, gender = text("name"), text("relation_name"), text("house"), T.gender_label(F.col("gender"))
     marked = F.arrays_overlap(F.split(name, " "), F.array(*[F.lit(m) for m in markers])) if markers else F.lit(False)
     return [
-        Rule("name_missing", 30, F.length(name) < 2, "name"), Rule("name_latin", 25, name.rlike("[a-zA-Z]"), "name"),
-        Rule("name_symbols", 15, name.rlike(SYMBOLS), "name"), Rule("name_label", 20, name.rlike(r"^(नाम|निर्वाचक|पुत्र|पत्नी)(\s|$)"), "name"),
-        Rule("name_zero", 10, name.rlike("(?<![क-ह])0(?![क-ह])"), "name"),
-        Rule("relation_missing", 25, F.length(rel) < 2, "rel"), Rule("relation_latin", 20, rel.rlike("[a-zA-Z]"), "rel"),
-        Rule("relation_symbols", 10, rel.rlike(SYMBOLS), "rel"), Rule("relation_label", 15, rel.rlike(r"^(पिता|पति|माता|अन्य|का\s+नाम)(\s|$)"), "rel"),
+        Rule("name_missing", 30, F.length(name) < 2, "name"), Rule("name_latin", 25, has_latin(name), "name"),
+        Rule("name_symbols", 15, has_symbol(name), "name"), Rule("name_label", 20, begins_with_label(name, NAME_LABELS), "name"),
+        Rule("name_zero", 10, lone_zero(name), "name"),
+        Rule("relation_missing", 25, F.length(rel) < 2, "rel"), Rule("relation_latin", 20, has_latin(rel), "rel"),
+        Rule("relation_symbols", 10, has_symbol(rel), "rel"),
+        Rule("relation_label", 15, begins_with_label(rel, RELATION_LABELS) | T.collapse(rel).startswith("का नाम"), "rel"),
         Rule("gender_relation", 30, (T.relation_label(F.col("relation_type")) == "पति") & (gender == "पुरुष")),
         Rule("gender_marker", 25, marked & (gender == "पुरुष")), Rule("code_format", 25, ~T.id_defect(F.col("code"))["valid"]),
         Rule("age_range", 20, F.coalesce(~F.col("age").between(18, 115), F.lit(True))),
-        Rule("house_noise", 15, house.rlike("(?i)(उपलब्ध|धर|फोटो|om|००)")),
+        Rule("house_noise", 15, unread_house(house)),
     ]
 
 
 def with_quality(df: DataFrame, rules: list[Rule], exempt: Column | None = None) -> DataFrame:
-    points, defects = score(rules, exempt)
-    return df.withColumns({"score": points, "defects": defects}).withColumn("perfect", is_perfect(F.col("score"), F.col("defects")))
+    """``df`` with defects, score and perfect; each rule is evaluated once."""
+    done = df.withColumn("defects", hits(rules, exempt)).withColumn("score", points(F.col("defects"), rules))
+    return done.withColumn("perfect", is_perfect(F.col("score"), F.col("defects"))).select(*df.columns, "score", "defects", "perfect")
 
 
 def repairs(markers: tuple[str, ...] = ()) -> dict[str, Column]:
     """New values of the fields of a registry record; a repair that leaves too little keeps the old value."""
 
-    def name(column: str, labels: str) -> Column:
-        rules = ((SYMBOLS, ""), ("[a-zA-Z]+", ""), (rf"^({labels})\s*[:;\-—]?\s*", ""), (r"\s+[0०]+\s*$", ""), (r"^[^ऀ-ॿ\w]+|[^ऀ-ॿ\w]+$", ""))
-        clean = T.rewrite(T.clean_text(F.col(column)), rules)
+    def name(column: str, labels: tuple[str, ...]) -> Column:
+        """Words without signs and Latin letters; labels before and zeros after the name are no words of it."""
+        words = F.filter(F.split(T.collapse(F.translate(F.regexp_replace(T.clean_text(F.col(column)), "[A-Za-z]", ""), SYMBOLS, "")), " "), lambda w: w != "")
+        label = lambda w: F.regexp_replace(w, "[-—]$", "").isin(*labels, "का", "नाम", "-", "—")
+        at = F.array_position(F.transform(words, lambda w: ~label(w)), F.lit(True)).cast("int")
+        rest = F.when(at > 0, F.slice(words, at, F.size(words))).otherwise(F.array().cast("array<string>"))
+        zeros = lambda w: F.translate(w, "0०", "") == ""
+        rest = F.when((F.size(rest) > 1) & zeros(F.try_element_at(rest, F.lit(-1))), F.slice(rest, 1, F.greatest(F.size(rest) - 1, F.lit(0)))).otherwise(rest)
+        clean = T.clean_text(F.array_join(rest, " "))
         return F.when(F.length(clean) >= 2, clean).otherwise(F.col(column))
 
     wife = (T.relation_label(F.col("relation_type")) == "पति") & (T.gender_label(F.col("gender")) == "पुरुष")
@@ -81,10 +134,10 @@ def repairs(markers: tuple[str, ...] = ()) -> dict[str, Column]:
     good = lambda v: v.between(18, 115)
     return {
         "gender": F.when(wife | marked, "महिला").otherwise(F.col("gender")),
-        "name": name("name", r"निर्वाचक\s+का\s+नाम|नाम"),
-        "relation_name": name("relation_name", r"(पिता|पति|माता|अन्य)\s+का\s+नाम|पिता|पति|माता"),
+        "name": name("name", ("निर्वाचक",)),
+        "relation_name": name("relation_name", RELATION_LABELS),
         "code": F.when(~T.id_defect(F.col("code"))["valid"] & T.id_defect(code)["valid"], code).otherwise(F.col("code")),
-        "house": F.when(F.col("house").rlike("(?i)(उपलब्ध|धर|फोटो|om|००)") & (house != ""), house).otherwise(F.col("house")),
+        "house": F.when(unread_house(F.col("house")) & (house != ""), house).otherwise(F.col("house")),
         "age": F.when(age.between(100, 199) & ~good(age) & good(tail), tail).when(age.between(100, 999) & ~good(age) & good(head), head).otherwise(age).cast("int"),
     }
 
@@ -92,8 +145,8 @@ def repairs(markers: tuple[str, ...] = ()) -> dict[str, Column]:
 def accept_repairs(df: DataFrame, new: dict[str, Column], rules: list[Rule]) -> DataFrame:
     """Repairs taken where something changed and the score (by ``rules``, on the same columns) isn't lower; with changes, old and new score."""
     old = list(new)
-    kept = df.withColumns({f"__old_{c}": F.col(c) for c in old}).withColumn("score_before", score(rules)[0])
-    fixed = kept.withColumns(new).withColumn("score_after", score(rules)[0])
+    kept = df.withColumns({f"__old_{c}": F.col(c) for c in old}).withColumn("__hits", hits(rules)).withColumn("score_before", points(F.col("__hits"), rules))
+    fixed = kept.withColumns(new).withColumn("__hits", hits(rules)).withColumn("score_after", points(F.col("__hits"), rules)).drop("__hits")
     entry = [F.when(~F.col(c).eqNullSafe(F.col(f"__old_{c}")), F.struct(F.lit(c).alias("field"), F.col(f"__old_{c}").cast("string").alias("old"), F.col(c).cast("string").alias("new"))) for c in old]
     fixed = fixed.withColumn("changes", F.array_compact(F.array(*entry)))
     fixed = fixed.withColumn("accepted", (F.size("changes") > 0) & (F.col("score_after") >= F.col("score_before")))

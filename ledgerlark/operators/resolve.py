@@ -26,6 +26,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         folder = "file://" + tempfile.mkdtemp(prefix="ledgerlark-")
@@ -181,17 +184,20 @@ def household_matches(members: DataFrame, registry: DataFrame, rounds: int = 2)
     return found
 
 
-def propagate_labels(nodes: DataFrame, links: DataFrame, rounds: int = 20) -> DataFrame:
-    """id, label, hops: labels of ``nodes`` (id, label or null) spread over ``links`` (a, b), one step a round; of several that arrive at
-    once the least counts. Sources are fixed at the start of a round. Only neutral labels are meant."""
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+def propagate_labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """id, label, hops: labels of ``nodes`` (id, label or null) spread over ``links`` (a, b), one step a round, until no label arrives; of
+    several that arrive at once the least counts. Sources are fixed at the start of a round. Only neutral labels are meant.
+
+    Each round joins only the labels that the last one brought, since those before have nothing new to tell their neighbours.
+    """
+    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "both-ways")
     state = cut(nodes.select("id", "label", F.when(F.col("label").isNotNull(), 0).alias("hops")), "labels")
-    for step in range(1, rounds + 1):
-        arriving = both.join(state.where("label IS NOT NULL"), both["a"] == state["id"]).groupBy(F.col("b").alias("id")).agg(F.min("label").alias("__l"))
-        fresh = state.where("label IS NULL").select("id").join(arriving, "id")
-        new = cut(fresh, "fresh")
-        if new.isEmpty():
-            break
-        joined = state.join(new, "id", "left")
+    front, step = state.where("label IS NOT NULL").select("id", "label"), 0
+    while not front.isEmpty():
+        step += 1
+        arriving = both.join(front, both["a"] == front["id"]).groupBy(F.col("b").alias("id")).agg(F.min("label").alias("__l"))
+        front = cut(state.where("label IS NULL").select("id").join(arriving, "id"), "front")
+        joined = state.join(front, "id", "left")
         state = cut(joined.select("id", F.coalesce("label", "__l").alias("label"), F.coalesce("hops", F.when(F.col("__l").isNotNull(), step)).alias("hops")), "labels")
+        front = front.select("id", F.col("__l").alias("label"))
     return state

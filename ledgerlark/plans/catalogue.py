@@ -721,3 +721,6 @@ def fuzzy_name_matches(spark, folder):
 
     pairs = joins.blocked_pairs(t(spark, folder, "nation"), "n_name", ["n_regionkey"], [], F.lit(True))
     return pairs.select(F.col("x_n_name").alias("a"), F.col("y_n_name").alias("b")).withColumn("similarity", matchers.similarity_udf("a", "b")).where("similarity >= 0.5")
+
+
+from ledgerlark.plans import registry  # noqa: E402,F401 (adds its queries to the catalogue)
