@@ -58,9 +58,9 @@ def multi_criteria_filter(spark, folder):
     return spec.apply(t(spark, folder, "orders"))
 
 
-@register("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%p%r_1%'")
+@register("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%R_d%g%'")
 def ilike_wildcards(spark, folder):
-    return t(spark, folder, "part").where(P.like_folded(F.col("p_name"), "p%r_1")).select("p_partkey", "p_name")
+    return t(spark, folder, "part").where(P.like_folded(F.col("p_name"), "R_d%g")).select("p_partkey", "p_name")
 
 
 @register("SELECT * FROM customer WHERE NOT coalesce(c_mktsegment = 'BUILDING' AND nullif(c_acctbal, 0) > 500, false)")
