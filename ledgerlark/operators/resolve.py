@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,11 @@ GENDER_POINTS, HOUSE_POINTS, AGE_POINTS = (10, -30), 20, ((3, 15), (6, 8), (10,
 FAR_AGE, ACCEPT, EXACT = -35, 68, 100
 
 
+@cache
+def local_scratch() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="ledgerlark-")
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back: lineage ends there and survives lost executors."""
     spark = df.sparkSession
@@ -29,10 +35,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile
-
-        folder = "file://" + tempfile.mkdtemp(prefix="ledgerlark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = local_scratch()
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
