@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,11 @@ SENT_IDS = 2_000_000
 M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+@cache
+def local_scratch() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="ledgerlark-")
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared scratch folder: ``spark.checkpoint.dir``. Where that is unset a local one is made, in local mode only (tests)."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
@@ -30,8 +36,7 @@ def scratch_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        set_dir = "file://" + tempfile.mkdtemp(prefix="ledgerlark-")
-        spark.conf.set("spark.checkpoint.dir", set_dir)
+        set_dir = local_scratch()
     return f"{set_dir.rstrip('/')}/ledgerlark-{spark.sparkContext.applicationId}"
 
 
