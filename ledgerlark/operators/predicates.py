@@ -83,6 +83,54 @@ def relevance(tests: list[Column]) -> Column:
     return out
 
 
+def candidate_search(
+    people: DataFrame, term: str = "", name: str = "", relation: str = "", code: str = "", spec: SearchSpec | None = None, mapped: DataFrame | None = None, most: int = 40
+) -> DataFrame:
+    """The first ``most`` candidates for a mapping, best first: the columns of ``people`` with rank, match_tag and is_mapped.
+
+    people: id, name, relation, code, house, station, part, serial, deleted and the four search keys. term is looked for in all
+    fields, name and relation in their own, each as it is, folded and by sound, code in codes; these and ``spec`` are AND-ed, and
+    without any of them nothing is found. Deleted rows are none. mapped: id of rows that have a mapping; null ids match nothing.
+
+    rank: 1 equal code, 2 name, 3 folded name, 4 sound, 5 part of the code, 6 any other way. match_tag names the way, where a part of
+    the code counts before the name and an equal house before "broad"; "filter" where no term, name or code is asked for.
+    """
+    term, name, relation, code = (x.strip() for x in (term, name, relation, code))
+    asked, spec = term or name or code, spec or SearchSpec()
+    known = lambda test: F.coalesce(test, F.lit(False))
+    holds = lambda c, form: known((form != "") & F.col(c).contains(form))
+
+    def sounds_like(text: str, fields: list[tuple[str, str, str]]) -> Column:
+        forms = expand_term(text)
+        return any_of([known(like_folded(F.col(c), text)) | holds(n, forms["folded"]) | holds(p, forms["phonetic"]) for c, n, p in fields])
+
+    own, kin = ("name", "name_normalized", "name_phonetic"), ("relation", "rel_normalized", "rel_phonetic")
+    criteria = list(spec.conditions())
+    if term:
+        other = [known(F.upper("code").contains(term.upper())), *(known(like_folded(F.col(c), term)) for c in ("house", "station", "part"))]
+        serial = [known(F.col("serial") == F.lit(term).try_cast("long"))] * term.isdecimal()
+        criteria.append(any_of([sounds_like(term, [own, kin]), *other, *serial]))
+    criteria += [sounds_like(x, [f]) for x, f in ((name, own), (relation, kin)) if x]
+    criteria += [F.upper("code").contains(code.upper())] * bool(code)
+    found = people.where(~known(F.col("deleted")) & (all_of(criteria) if criteria else F.lit(False)))
+    if asked:
+        forms = expand_term(asked)
+        in_code, named = known(F.upper("code").contains(asked.upper())), known(like_folded(F.col("name"), asked))
+        folded, sound = holds("name_normalized", forms["folded"]), holds("name_phonetic", forms["phonetic"])
+        rank = relevance([F.upper("code") == asked.upper(), named, folded, sound, in_code])
+        ways = [(in_code, "code"), (known(F.col("name").contains(asked)), "name"), (folded, "folded"), (sound, "sound"), (known(F.col("house") == asked), "house")]
+        tag = F.coalesce(*[F.when(test, way) for test, way in ways], F.lit("broad"))
+    else:
+        rank, tag = F.lit(6), F.lit("filter")
+    found = found.withColumns({"rank": rank, "match_tag": tag})
+    if mapped is None:
+        found = found.withColumn("is_mapped", F.lit(False))
+    else:
+        marks = mapped.select("id").distinct().withColumn("is_mapped", F.lit(True))
+        found = found.join(marks, "id", "left").withColumn("is_mapped", known(F.col("is_mapped")))
+    return found.orderBy("rank", F.expr("try_cast(part AS long)"), "serial", "id").limit(most)
+
+
 def page(df: DataFrame, order: list[Column], number: int, size: int, most: int = 5000) -> DataFrame:
     """One page in a total order; the size is clamped to 1..most. End ``order`` with a key."""
     size = max(1, min(size, most))

@@ -312,19 +312,22 @@ def either_condition_join(spark, folder):
 
 
 @register("""
-WITH k AS (SELECT p_partkey, unnest(list_distinct([lower(p_brand), lower(p_type)] || string_split(lower(p_name), ' '))) AS k FROM part)
-SELECT DISTINCT a.p_partkey AS a, b.p_partkey AS b FROM k a JOIN k b ON a.k = b.k AND a.p_partkey < b.p_partkey WHERE a.p_partkey <= 40 AND b.p_partkey <= 40
+WITH k AS (SELECT p_partkey, unnest([p_brand || '|' || p_type, p_brand || '|' || p_size || '|' || string_split(lower(p_name), ' ')[1], array_to_string(string_split(lower(p_name), ' ')[1:2], ' ')]) AS k FROM part)
+SELECT DISTINCT a.p_partkey AS a, b.p_partkey AS b FROM k a JOIN k b ON a.k = b.k AND a.p_partkey < b.p_partkey
 """)
 def multi_key_blocking(spark, folder):
-    part = t(spark, folder, "part").where("p_partkey <= 40")
-    keys = F.concat(F.array(F.lower("p_brand"), F.lower("p_type")), F.split(F.lower("p_name"), " "))
+    """Pairs of all parts that share a brand and type, a brand, size and first word of the name, or that name's first two words."""
+    part = t(spark, folder, "part")
+    words = F.split(F.lower("p_name"), " ")
+    first = F.array_join(F.slice(words, 1, 2), " ")
+    keys = F.array(F.concat_ws("|", "p_brand", "p_type"), F.concat_ws("|", "p_brand", "p_size", words[0]), first)
     x, y = part.select(F.col("p_partkey").alias("a"), keys.alias("x")), part.select(F.col("p_partkey").alias("b"), keys.alias("y"))
     return joins.multi_key_candidates(x, y, "a", "b", F.col("x"), F.col("y")).where("a < b")
 
 
 @register()
 def multi_key_candidate_counts(spark, folder):
-    """p_partkey, candidates: of every part, how many others share a key of multi_key_blocking with it."""
+    """p_partkey, candidates: of every part, how many others share its brand, its type or a word of its name."""
     part = t(spark, folder, "part")
     keys = F.concat(F.array(F.lower("p_brand"), F.lower("p_type")), F.split(F.lower("p_name"), " "))
     return joins.multi_key_counts(part, "p_partkey", keys)

@@ -6,6 +6,8 @@ out by hand from the rules (a wrong operator gives others).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -214,6 +216,50 @@ def search_by_sound(spark, folder):
     return found.select("id", rank.alias("rank"))
 
 
+CANDIDATES = [
+    (1, "अरूण शर्मा", "मोहन", "ABC1234567", "12", "Hall", "2", 12, None), (2, "अरुण वर्मा", "सोहन", "XABC12345671", "7", "Hall", "1", 9, False),
+    (3, "मोहन", "अरुण", "XYZ1112223", "88", "School", "10", 7, None), (4, "अरुण", "दीपक", "DEL0000001", "1", "Hall", "1", 3, True),
+    (5, "arun", None, None, None, None, "x", 40, None), (6, "ABC1234567", "सुरेश", "PQR0000009", "12", "School", "3", 1, None),
+]
+
+
+def candidates(spark) -> DataFrame:
+    df = spark.createDataFrame(CANDIDATES, "id int, name string, relation string, code string, house string, station string, part string, serial int, deleted boolean")
+    return dml.with_search_keys(df, "name", "relation")
+
+
+def ranked(df: DataFrame) -> DataFrame:
+    return df.select("id", F.col("rank").cast("int").alias("rank"), "match_tag", "is_mapped")
+
+
+@register(stated("id, rank, match_tag, is_mapped", (1, 1, "code", True), (6, 2, "sound", False), (2, 5, "code", False)))
+def candidates_by_code(spark, folder):
+    return ranked(P.candidate_search(candidates(spark), "abc1234567", mapped=spark.createDataFrame([(1,), (1,), (None,)], "id int")))
+
+
+@register(stated("id, rank, match_tag, is_mapped", (2, 2, "name", False), (1, 3, "folded", False), (5, 4, "sound", False), (3, 6, "broad", False)))
+def candidates_by_name(spark, folder):
+    return ranked(P.candidate_search(candidates(spark), "अरुण"))
+
+
+@register(stated("id, rank, match_tag, is_mapped", (6, 2, "name", False), (2, 5, "code", False), (1, 5, "code", False), (3, 6, "broad", False), (3, 6, "house", False)))
+def candidates_by_number(spark, folder):
+    """A number is looked for in serials, houses, parts and codes too."""
+    df = candidates(spark)
+    return ranked(P.candidate_search(df, "7")).unionByName(ranked(P.candidate_search(df, "88")))
+
+
+@register(stated("asked, ids", ("nothing", ""), ("relation", "3"), ("house", "1,6"), ("two at most", "2,1")))
+def candidates_by_field(spark, folder):
+    df = candidates(spark)
+    runs = {
+        "nothing": P.candidate_search(df), "relation": P.candidate_search(df, relation="arun"), "house": P.candidate_search(df, spec=P.SearchSpec(equals={"house": "12"})),
+        "two at most": P.candidate_search(df, "अरुण", most=2),
+    }
+    ids = lambda asked, found: found.agg(F.lit(asked).alias("asked"), F.array_join(F.sort_array(F.collect_list(F.struct("rank", "id")))["id"], ",").alias("ids"))
+    return reduce(DataFrame.unionByName, [ids(*x) for x in runs.items()])
+
+
 @register(stated("id", 1, 2))
 def search_folded_spelling(spark, folder):
     df = people(spark)
