@@ -6,6 +6,8 @@ gives null unless a docstring says otherwise.
 
 from __future__ import annotations
 
+import itertools
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -377,6 +379,53 @@ def name_parts(text: Column) -> Column:
     return F.struct(F.element_at(words, 1).alias("given"), F.when(F.size(words) > 1, F.element_at(words, -1)).alias("family"))
 
 
+# Devanagari signs of Latin letters; vowels as they stand alone and after a consonant.
+LATIN_CONSONANTS = {
+    "ksh": "क्ष", "gya": "ज्ञ", "gy": "ज्ञ", "sh": "श", "ch": "च", "th": "थ", "dh": "ध", "bh": "भ", "ph": "फ", "kh": "ख", "gh": "घ", "jh": "झ", "tr": "त्र",
+    "k": "क", "g": "ग", "c": "क", "j": "ज", "t": "त", "d": "द", "n": "न", "p": "प", "b": "ब", "m": "म", "y": "य", "r": "र", "l": "ल", "v": "व", "w": "व",
+    "s": "स", "h": "ह", "z": "ज", "f": "फ",
+}
+LATIN_VOWELS = {
+    "aa": ("आ", "ा"), "ai": ("ऐ", "ै"), "au": ("औ", "ौ"), "ee": ("ई", "ी"), "oo": ("ऊ", "ू"),
+    "a": ("अ", ""), "i": ("इ", "ि"), "u": ("उ", "ु"), "e": ("ए", "े"), "o": ("ओ", "ो"),
+}
+LATIN_SYLLABLE = re.compile(f"({'|'.join(LATIN_CONSONANTS)})?({'|'.join(LATIN_VOWELS)})?")
+
+
+def word_in_devanagari(word: str, spellings: dict[str, list[str]]) -> list[str]:
+    """Devanagari spellings of a Latin word: those known, then the one by sound, and that with the other n where it ends in one. Other words stay."""
+    low = word.lower()
+    if not re.fullmatch("[a-z]+", low):
+        return [word]
+    sound, at = "", 0
+    while at < len(low):
+        found = LATIN_SYLLABLE.match(low, at)
+        consonant, vowel = found.groups()
+        if consonant:
+            sound += LATIN_CONSONANTS[consonant] + (LATIN_VOWELS[vowel][1] if vowel else "")
+        elif vowel and at == 0:
+            sound += LATIN_VOWELS[vowel][0]
+        at = found.end() if consonant or at == 0 and vowel else at + 1
+    known = list(spellings.get(low, []))
+    if not sound or sound in known:
+        return known
+    return [*known, sound, *([sound[:-1] + "ण"] if sound[-1] == "न" else [])]
+
+
+def in_devanagari(term: str, spellings: dict[str, list[str]] | None = None) -> list[str]:
+    """Devanagari forms a Latin search term is looked up by too: all of one word, of several words at most five combinations of two a word.
+
+    spellings: known spellings of names in lower case, the caller's. Terms without a Latin letter have none.
+    """
+    words = term.split()
+    if not re.search("[A-Za-z]", term):
+        return []
+    options = [word_in_devanagari(w, spellings or {}) for w in words]
+    if len(words) == 1:
+        return options[0]
+    return [" ".join(x) for x in itertools.islice(itertools.product(*(o[:2] for o in options if o)), 5)]
+
+
 def expand_term(term: str) -> dict[str, Column]:
     """Literal columns of the forms a search term is looked up by; evaluated once by the optimizer."""
     return {"exact": F.lit(term), "folded": fold_devanagari(F.lit(term)), "phonetic": phonetic_key(F.lit(term))}

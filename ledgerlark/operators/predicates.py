@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.functions.textkeys import clean_text, expand_term
+from ledgerlark.functions.textkeys import clean_text, expand_term, fold_devanagari, in_devanagari
 
 
 def all_of(conditions: list[Column]) -> Column:
@@ -84,12 +84,13 @@ def relevance(tests: list[Column]) -> Column:
 
 
 def candidate_search(
-    people: DataFrame, term: str = "", name: str = "", relation: str = "", code: str = "", spec: SearchSpec | None = None, mapped: DataFrame | None = None, most: int = 40
+    people: DataFrame, term: str = "", name: str = "", relation: str = "", code: str = "", spec: SearchSpec | None = None, mapped: DataFrame | None = None, most: int = 40,
+    spellings: dict[str, list[str]] | None = None,
 ) -> DataFrame:
     """The first ``most`` candidates for a mapping, best first: the columns of ``people`` with rank, match_tag and is_mapped.
 
     people: id, name, relation, code, house, station, part, serial, deleted and the four search keys. term is looked for in all
-    fields, name and relation in their own, each as it is, folded and by sound, code in codes; these and ``spec`` are AND-ed, and
+    fields, name and relation in their own, each as it is, in Devanagari (spellings: see in_devanagari()), folded and by sound, code in codes; these and ``spec`` are AND-ed, and
     without any of them nothing is found. Deleted rows are none. mapped: id of rows that have a mapping; null ids match nothing.
 
     rank: 1 equal code, 2 name, 3 folded name, 4 sound, 5 part of the code, 6 any other way. match_tag names the way, where a part of
@@ -102,7 +103,9 @@ def candidate_search(
 
     def sounds_like(text: str, fields: list[tuple[str, str, str]]) -> Column:
         forms = expand_term(text)
-        return any_of([known(like_folded(F.col(c), text)) | holds(n, forms["folded"]) | holds(p, forms["phonetic"]) for c, n, p in fields])
+        spelt = in_devanagari(text, spellings)
+        variants = lambda c, n: [t for v in spelt for t in (known(F.col(c).contains(v)), holds(n, fold_devanagari(F.lit(v))))]
+        return any_of([t for c, n, p in fields for t in (known(like_folded(F.col(c), text)), holds(n, forms["folded"]), holds(p, forms["phonetic"]), *variants(c, n))])
 
     own, kin = ("name", "name_normalized", "name_phonetic"), ("relation", "rel_normalized", "rel_phonetic")
     criteria = list(spec.conditions())

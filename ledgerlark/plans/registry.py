@@ -195,6 +195,24 @@ def tagged_values(spark, folder):
     return forms(spark, R.tagged_value, ['{"integerValue": "5"}', '{"arrayValue": {"values": [1]}}', "{}"])
 
 
+SPELT = {"arun": "अरुन|अरुण", "suresh": "सुरेश", "ram kumaar": "रम कुमार", "gyaan singh": "ज्ञन सिनघ|ज्ञण सिनघ", "eesha9": "eesha9", "अरुण": "", "arun devan": "अरूण देवन|अरूण देवण|अरुन देवन|अरुन देवण"}
+
+
+@register(stated("term, forms", *SPELT.items()))
+def latin_in_devanagari(spark, folder):
+    forms_of = lambda term: T.in_devanagari(term, {"arun": ["अरूण"]} if " " in term else None)
+    return spark.createDataFrame([(term, "|".join(forms_of(term))) for term in SPELT], "term string, forms string")
+
+
+@register(stated("id", 1, 2, 3))
+def candidates_in_devanagari(spark, folder):
+    """A term without phonetic equality is found by its Devanagari form."""
+    rows = [(1, "मोहन लाल", None), (2, "राम मोहन", None), (3, None, "मोहण"), (4, "सोहन", None)]
+    df = dml.with_search_keys(spark.createDataFrame(rows, "id int, name string, relation string"), "name", "relation")
+    df = df.withColumns({c: F.lit(None).cast("string") for c in ("code", "house", "station", "part")}).withColumns({"serial": F.lit(1), "deleted": F.lit(False)})
+    return P.candidate_search(df, "mohan").select("id")
+
+
 # ------------------------------------------------------------------ search
 PEOPLE = [
     (1, "अरूण शर्मा", "मोहन", "ABC1234567", 12, None), (2, "अरुण वर्मा", "सोहन", "ABD7654321", 112, False), (3, "मोहन", "अरुण", "XYZ1112223", 7, None),
