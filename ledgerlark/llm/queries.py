@@ -7,7 +7,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, language_id, mixing, packing, passages, suffix_dedup, topk, toxicity, url_filter
+from . import ann, exact_dedup, jaccard_join, language_id, mixing, packing, passages, prefix_trie, resampling, suffix_dedup, topk, toxicity, url_filter
 from .common import table
 
 BLOCKED = [("net", "/"), ("example.com", "/de/")]
@@ -80,14 +80,31 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", kept, (F.col("n_removed") > 0).alias("removed"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, seed=7)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), k=10)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_cube_mix, op2_jaccard_join, op3_bin_completion, op4_kdtree_topk, op5_language_id, op6_exact_dedup, op7_toxicity,
-        op8_shared_passages, op9_url_rules, op10_suffix_dedup,
+        op8_shared_passages, op9_url_rules, op10_suffix_dedup, op11_importance_resampling, op12_prefix_trie, op13_posting_lists,
     )
 }
 
+#: CRC-32 of a string's bytes, four bits at a time: columns c16 (the table of the sixteen remainders) and s (the string) give it.
+CRC16 = "list_transform(range(16), lambda n: list_reduce([0, 0, 0, 0], lambda c, k: xor(c >> 1, (c & 1) * 3988292384), n))"
+CRC32 = """xor(list_reduce(list_transform(range(length(hex(s))), lambda i: CAST(strpos('0123456789ABCDEF', substr(hex(s), xor(i, 1) + 1, 1)) - 1 AS BIGINT)),
+  lambda c, x: xor(c16[(xor(c, x) & 15) + 1], c >> 4), 4294967295), 4294967295)"""
+
 ORACLE_SQL = {
     "op2_jaccard_join": r"""
 WITH RECURSIVE w AS (
@@ -130,5 +147,45 @@ WITH u AS (
   FROM h LEFT JOIN r ON ('.' || host) LIKE ('%.' || rule_host) AND starts_with(path, rule_path)
 )
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE n = 1
+""",
+    "op11_importance_resampling": rf"""
+WITH c AS (SELECT {CRC16} AS c16),
+w AS (
+  SELECT true AS own, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT false, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), f AS (SELECT own, doc_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS s FROM w),
+g AS (SELECT own, doc_id, s, count(*) AS n FROM f GROUP BY ALL),
+b AS (SELECT s, {CRC32} % 10000 AS bucket FROM (SELECT DISTINCT s FROM g), c),
+h AS (SELECT own, doc_id, bucket, sum(n) AS n FROM g JOIN b USING (s) GROUP BY ALL),
+k AS (SELECT bucket, coalesce(sum(n) FILTER (own), 0) AS s, coalesce(sum(n) FILTER (NOT own), 0) AS t FROM h GROUP BY 1),
+a AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM k),
+gain AS (
+  SELECT bucket, floor(1000 * ln((CAST(k.t AS DOUBLE) + 1) * (CAST(a.s AS DOUBLE) + 10000) / ((CAST(k.s AS DOUBLE) + 1) * (CAST(a.t AS DOUBLE) + 10000)))) AS gain FROM k, a
+), d AS (SELECT doc_id, sum(n) AS n, floor(sum(n * gain) / sum(n)) AS weight FROM h JOIN gain USING (bucket) WHERE own GROUP BY 1),
+e AS (
+  SELECT w.doc_id, len(w.w) AS words, CAST(coalesce(d.n, 0) AS BIGINT) AS n_features, CAST(coalesce(d.weight, 0) AS BIGINT) AS weight,
+         CAST('0x' || substr(sha256('7:' || w.doc_id), 1, 8) AS BIGINT) AS h FROM w LEFT JOIN d USING (doc_id) WHERE own
+), r AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM e),
+o AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS k, count(*) OVER (PARTITION BY words >= 20) AS n FROM r)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND k <= 25 * n // 100 THEN k END AS rank FROM o
+""",
+    "op12_prefix_trie": f"""
+WITH c AS (SELECT {CRC16} AS c16),
+o AS (
+  SELECT conv_id, list((coalesce(role, ''), coalesce(text, '')) ORDER BY turn NULLS FIRST) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1
+), h AS (SELECT conv_id, t, {CRC32} % 6 AS h FROM (SELECT *, CAST(conv_id AS VARCHAR) AS s FROM o), c),
+r AS (
+  SELECT h.conv_id, list_concat(coalesce(list_slice(b.t, 1, h.h), []), list_slice(h.t, h.h + 1, len(h.t))) AS t
+  FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 100
+), m AS (SELECT conv_id, len(t) AS size, d, list_slice(t, 1, d) AS p FROM (SELECT *, unnest(range(0, len(t) + 1)) AS d FROM r)),
+n AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = d), '') AS ends,
+         CASE WHEN d > 0 THEN length(p[d][2]) ELSE 0 END AS chars FROM m GROUP BY p, d
+), k AS (SELECT list_slice(p, 1, d - 1) AS p, d - 1 AS d, count(*) AS children FROM n WHERE d > 0 GROUP BY ALL),
+f AS (SELECT n.*, coalesce(k.children, 0) AS children FROM n LEFT JOIN k ON k.p = n.p AND k.d = n.d),
+u AS (SELECT list_slice(p, 1, a) AS p, a AS d, count(*) FILTER (children = 0) AS leaves, sum((n - 1) * chars) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM f) GROUP BY ALL)
+SELECT f.conv_id, f.d AS depth, q.conv_id AS parent_conv_id, f.n AS n_convs, f.children AS n_children, u.leaves AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM f JOIN u ON u.p = f.p AND u.d = f.d LEFT JOIN f q ON q.d = f.d - 1 AND q.p = list_slice(f.p, 1, f.d - 1)
 """,
 }
