@@ -35,6 +35,8 @@ BUCKETS = 10_000
 LEAST_WORDS = 20
 #: Bytes of a text that are cut into words at once.
 SLICE = 1 << 20
+#: Features whose gains are gathered at once.
+GATHERED = 1_000_000
 #: Bytes that are part of words keep their place, A to Z are lower-cased, and all others become spaces.
 TO_WORDS = bytes(b if b >= 128 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
 SCORED = "doc_id long, n_features long, n_words long, weight long, score long"
@@ -49,17 +51,15 @@ def word_slices(text: bytes) -> Iterator[list[bytes]]:
         at = end if end >= 0 else len(text)
 
 
-def features(text: bytes | None) -> tuple[list[int], int]:
-    """CRC-32 of every one- and two-word feature of a text, repeats included, and the number of words."""
-    out, n, last = [], 0, None
+def bucket_slices(text: bytes | None) -> Iterator[tuple[np.ndarray, int]]:
+    """The buckets of the one- and two-word features of a text, repeats included, and the number of words, slice by slice."""
+    last = None
     for words in word_slices(text or b""):
         ones = [*map(crc32, words)]
         before = ones[:-1] if last is None else [last, *ones[:-1]]
-        out += ones
-        out += map(crc32, [b" " + w for w in (words[1:] if last is None else words)], before)  # the CRC of the word before goes on
-        n += len(words)
+        twos = [*map(crc32, [b" " + w for w in (words[1:] if last is None else words)], before)]  # the CRC of the word before goes on
         last = ones[-1] if ones else last
-    return out, n
+        yield (np.array(ones + twos, dtype=np.int64) % BUCKETS).astype(np.int16), len(words)
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
@@ -73,7 +73,8 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
         total = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
             for text in _texts(batch):
-                total += np.bincount(np.array(features(text)[0], dtype=np.int64) % BUCKETS, minlength=BUCKETS)
+                for buckets, _ in bucket_slices(text):
+                    total += np.bincount(buckets, minlength=BUCKETS)
         yield pa.RecordBatch.from_pydict({"counts": [total.tobytes()]})
 
     parts = texts.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "counts binary").rdd
@@ -94,17 +95,31 @@ def score(docs: DataFrame, gain: np.ndarray, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(text) for text in _texts(batch)]
-            sizes = np.array([len(f) for f, _ in found], dtype=np.int64)
-            bucket = np.concatenate([np.array(f, dtype=np.int64) for f, _ in found] or [np.zeros(0, dtype=np.int64)]) % BUCKETS
-            owner = np.repeat(np.arange(len(found)), sizes)
-            total = np.bincount(owner, weights=sent.value[bucket], minlength=len(found)).astype(np.int64)  # whole numbers below 2^53
+            n = batch.num_rows
+            sizes, words, total = (np.zeros(n, dtype=np.int64) for _ in range(3))
+            held: list[tuple[int, np.ndarray]] = []
+
+            def gather() -> None:
+                if held:
+                    owner = np.repeat([k for k, _ in held], [len(b) for _, b in held])
+                    weights = sent.value[np.concatenate([b for _, b in held])]
+                    total[:] += np.bincount(owner, weights=weights, minlength=n).astype(np.int64)  # whole numbers below 2^53
+                    held.clear()
+
+            for k, text in enumerate(_texts(batch)):
+                for buckets, count in bucket_slices(text):
+                    held.append((k, buckets))
+                    sizes[k] += len(buckets)
+                    words[k] += count
+                if sizes[held[0][0] if held else k : k + 1].sum() > GATHERED:
+                    gather()
+            gather()
             weight = total // np.maximum(sizes, 1)
             ids = batch.column("doc_id").to_pylist()
             draws = (int(hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:8], 16) for i in ids)
             noise = np.array([math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))) for h in draws], dtype=np.int64)
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "n_features": sizes, "n_words": np.array([n for _, n in found], dtype=np.int64), "weight": weight, "score": weight + noise,
+                "doc_id": batch.column("doc_id"), "n_features": sizes, "n_words": words, "weight": weight, "score": weight + noise,
             })
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCORED)
