@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import accumulate
 from zlib import crc32
 
 import numpy as np
@@ -133,8 +134,8 @@ def ranked(rows: DataFrame, percent: int) -> DataFrame:
     placed = materialise(dealt.withColumn("place", F.monotonically_increasing_id()), "resample-placed")
     part, row = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
     sizes = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()  # one row a partition
-    before = [sum(r["n"] for r in sizes[:k]) for k in range(len(sizes))]
-    draw = percent * sum(r["n"] for r in sizes) // 100
+    *before, eligible = accumulate((r["n"] for r in sizes), initial=0)
+    draw = percent * eligible // 100
     shift = spark.createDataFrame([(r["part"], b) for r, b in zip(sizes, before, strict=True)], "part long, before long")
     rank = F.col("before") + row + 1
     joined = placed.withColumn("part", part).join(F.broadcast(shift), "part")
