@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import textkeys as T
+from ledgerlark.operators.resolve import cut
 
 
 def upsert(current: DataFrame, delta: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -119,6 +120,75 @@ def apply_pending(df: DataFrame, edits: DataFrame, key: str, columns: list[str])
     return done.unionByName(adds)
 
 
+def _proposed(entries: Column, field: str) -> Column:
+    return F.get(F.filter(entries, lambda p: p["key"] == field), F.lit(0))["value"]
+
+
+def _predicate_paths(starts: DataFrame, bulk: DataFrame, match_on: str) -> DataFrame:
+    """part, since, log: the predicate edits that a row which has ``part`` from edit ``since`` on runs into, in order, as edits rename its part.
+
+    Rows don't come into it, only their distinct starts. A round follows all paths up to their next rename.
+    """
+    logs = bulk.groupBy("match").agg(F.sort_array(F.collect_list(F.struct("edit_id", "proposed_"))).alias("all"))
+    front, parts = starts.select("part", "since", F.col("part").alias("now"), F.col("since").alias("at")), []
+    while True:
+        renames = lambda x: F.coalesce(_proposed(x["proposed_"], match_on) != F.col("now"), F.lit(False))
+        met = front.join(logs, F.col("now") == F.col("match")).withColumn("later", F.filter("all", lambda x: x["edit_id"] > F.col("at")))
+        met = met.withColumn("upto", F.array_position(F.transform("later", renames), True))
+        met = met.withColumn("run", F.when(F.col("upto") > 0, F.slice("later", F.lit(1), F.col("upto").cast("int"))).otherwise(F.col("later")))
+        step = cut(met.where(F.size("run") > 0).select("part", "since", "run", (F.col("upto") > 0).alias("renamed")), "edit-paths")
+        parts.append(step.select("part", "since", F.explode("run").alias("e")))
+        last = F.element_at("run", -1)
+        front = step.where("renamed").select("part", "since", _proposed(last["proposed_"], match_on).alias("now"), last["edit_id"].alias("at"))
+        if front.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, parts).groupBy("part", "since").agg(F.sort_array(F.collect_list("e")).alias("log"))
+
+
+def replay_edits(df: DataFrame, edits: DataFrame, key: str, match_on: str, columns: list[str]) -> DataFrame:
+    """``df`` after all approved edits, as if each had been applied to the rows as they were then, in the order of edit_id.
+
+    edits: edit_id (unique), action, target_id, match, proposed (map of texts), status. UPDATE sets the proposed fields of its target, null too;
+    DELETE removes it for good; ADD inserts a row of the proposed fields; BULK sets the proposed fields, blank ones aside, of all rows whose
+    ``match_on`` equals ``match`` at that time, rows added before included, and may change ``match_on`` itself. Values that don't fit their column's type become null.
+    Only ``columns`` change, ``match_on`` should be among them. Added rows are met by BULK edits only. ``key`` is unique; unknown targets are ignored.
+
+    No edit is applied row by row: each field takes its last writer among the edits of its key and the predicate edits on its way. That way is the same for
+    all rows that start with one value, so it is followed once for each, and again from each edit of a key that sets ``match_on``.
+    """
+    approved = edits.where("status = 'approved'")
+    filled = F.filter(F.map_entries("proposed"), lambda p: p["key"].isin(*columns) & (F.trim(p["value"]) != ""))
+    bulk = approved.where("action = 'BULK'").select("edit_id", F.col("match").cast("string").alias("match"), filled.alias("proposed_"))
+    sets = approved.where("action = 'UPDATE'").select("target_id", "edit_id", F.explode("proposed").alias("field", "value")).where(F.col("field").isin(*columns))
+    turns = sets.where(F.col("field") == match_on).select("target_id", F.col("value").alias("part"), F.col("edit_id").alias("since"))
+    turns = turns.withColumn("until", F.lead("since").over(Window.partitionBy("target_id").orderBy("since")))
+    adds = approved.where("action = 'ADD'")
+    added = adds.select(*[F.try_element_at("proposed", F.lit(c)).try_cast(df.schema[c].dataType).alias(c) for c in df.columns], F.col("edit_id").alias("__since"))
+    gone = approved.where("action = 'DELETE'").select(F.col("target_id").alias(key)).distinct()
+    rows = df.join(gone, key, "left_anti").withColumn("__since", F.lit(0).cast("long")).withColumn("__key", F.col(key))
+    rows = rows.unionByName(added.withColumn("__key", F.lit(None).cast(df.schema[key].dataType)))
+    part = F.col(match_on).cast("string")
+    starts = rows.select(part.alias("part"), F.col("__since").alias("since")).unionByName(turns.select("part", "since")).where("part IS NOT NULL").distinct()
+    paths = cut(_predicate_paths(cut(starts, "edit-starts"), cut(bulk, "bulk-edits"), match_on), "edit-logs")
+    later = turns.join(paths, ["part", "since"]).select("target_id", "until", F.explode("log").alias("e")).where(F.col("until").isNull() | (F.col("e.edit_id") < F.col("until")))
+    later = later.select("target_id", F.col("e.edit_id").alias("edit_id"), F.inline("e.proposed_").alias("field", "value"))
+    last = sets.unionByName(later).groupBy("target_id", "field").agg(F.max(F.struct("edit_id", "value")).alias("w"))
+    by_key = last.groupBy(F.col("target_id").alias("__key")).agg(F.map_from_entries(F.collect_list(F.struct("field", "w"))).alias("__last"))
+    by_key = by_key.join(turns.groupBy(F.col("target_id").alias("__key")).agg(F.min("since").alias("__turn")), "__key", "left")
+    met = rows.join(by_key, "__key", "left").join(paths.withColumnsRenamed({"part": "__part", "since": "__from", "log": "__log"}), (part == F.col("__part")) & (F.col("__since") == F.col("__from")), "left")
+    met = met.withColumn("__log", F.filter("__log", lambda e: F.col("__turn").isNull() | (e["edit_id"] < F.col("__turn"))))
+
+    def newest(column: str) -> Column:
+        wrote = F.filter(F.transform("__log", lambda e: F.struct(e["edit_id"].alias("edit_id"), _proposed(e["proposed_"], column).alias("value"))), lambda e: e["value"].isNotNull())
+        way = F.try_element_at(wrote, F.lit(-1))
+        own = F.try_element_at("__last", F.lit(column))
+        mine = F.coalesce(own["edit_id"] > way["edit_id"], own.isNotNull())
+        value = F.when(mine, own["value"]).otherwise(way["value"])
+        return F.when(own.isNull() & way.isNull(), F.col(column)).otherwise(value.try_cast(df.schema[column].dataType))
+
+    return met.withColumns({c: newest(c) for c in columns}).select(*df.columns)
+
+
 def pending_counts(edits: DataFrame) -> DataFrame:
     return edits.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in ("pending", "approved", "rejected")])
 

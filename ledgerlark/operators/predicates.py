@@ -140,6 +140,28 @@ def page(df: DataFrame, order: list[Column], number: int, size: int, most: int =
     return df.orderBy(*order).offset((max(1, number) - 1) * size).limit(size)
 
 
+def deep_page(df: DataFrame, by: str, tie: str, number: int, size: int, descending: bool = False, slack: float = 0.002) -> DataFrame:
+    """The rows page() would give for a numeric key ``by`` (null keys last) and a unique ``tie``, reading one range of the key.
+
+    Two approximate quantiles bracket the page's places; the rows below the bracket are counted, so its place is exact, and only the
+    bracket is sorted. If the page isn't wholly inside, the bracket is widened, at last to all rows.
+    """
+    offset, total = (max(1, number) - 1) * max(1, size), df.count()
+    known = df.where(F.col(by).isNotNull())
+    order = [F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_last(), F.col(tie).asc()]
+    while total and slack < 1:
+        ends = [max(0.0, offset / total - slack), min(1.0, (offset + size) / total + slack)]
+        low, high = known.approxQuantile(by, sorted(1 - e for e in ends) if descending else ends, slack / 2) or (None, None)
+        if low is None:
+            break
+        before = F.col(by) > high if descending else F.col(by) < low
+        skipped, inside = known.agg(F.count_if(before), F.count_if(F.col(by).between(low, high))).first()
+        if skipped <= offset and offset + size <= skipped + inside:
+            return known.where(F.col(by).between(low, high)).orderBy(*order).offset(offset - skipped).limit(size)
+        slack *= 8
+    return df.orderBy(*order).offset(offset).limit(size)
+
+
 def page_count(total: int, size: int) -> int:
     return max(1, -(-total // size))
 

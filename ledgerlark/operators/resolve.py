@@ -6,12 +6,13 @@ import tempfile
 import uuid
 from functools import cache, reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import matchers
 from ledgerlark.functions import textkeys as T
 from ledgerlark.operators.joins import blocked_pairs
+from ledgerlark.operators.nearjoin import alike_pairs
 
 # Confidence of a duplicate link by tier, and the greatest age difference of tiers 2 to 4.
 TIER_CONFIDENCE = {1: 100, 2: 98, 3: 95, 4: 88}
@@ -27,18 +28,22 @@ def local_scratch() -> str:
     return "file://" + tempfile.mkdtemp(prefix="ledgerlark-")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder that doesn't exist yet, under the shared checkpoint folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = local_scratch()
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read back: lineage ends there and survives lost executors."""
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -67,29 +72,74 @@ def star_links(df: DataFrame, key: str, block: list[str], tier: int) -> DataFram
     return df.join(least, block).where(F.col(key) != F.col("a")).select("a", F.col(key).alias("b"), F.lit(tier).alias("tier"))
 
 
+def value_links(df: DataFrame, key: str, values: list[str], tier: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct ``values`` with the least ``key`` that has them, and links of the others to it: copies never make pairs among themselves."""
+    reps = df.groupBy(*values).agg(F.min(key).alias(key), F.count(F.lit(1)).alias("__copies"))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"d.{c}")) for c in values]
+    least = reps.where("__copies > 1").select(F.col(key).alias("a"), *values)
+    links = df.alias("d").join(least.alias("r"), reduce(lambda x, y: x & y, same)).where(F.col(f"d.{key}") != F.col("a"))
+    return reps.drop("__copies"), links.select("a", F.col(f"d.{key}").alias("b"), F.lit(tier).alias("tier"))
+
+
+def similar_first_names(names: DataFrame) -> DataFrame:
+    """f, g: ordered pairs of different first names (one column, distinct) of a sequence similarity of FIRST_NAME and lengths at most 2 apart."""
+    column = names.columns[0]
+    near = alike_pairs(names, column, [], matchers.FIRST_NAME, 2, lambda x, y: F.greatest(matchers.similarity_udf(x, y), matchers.similarity_udf(y, x)))
+    x, y = F.col(f"x_{column}"), F.col(f"y_{column}")
+    both = near.select(x.alias("f"), y.alias("g")).unionByName(near.select(y.alias("f"), x.alias("g")))
+    return both.where(matchers.similarity_udf("f", "g") >= matchers.FIRST_NAME)
+
+
 def duplicate_links(people: DataFrame) -> DataFrame:
     """a, b, tier of duplicate pairs of ``people`` (id, code, name, relation, house, age, gender, place).
 
-    Tier 1: same id. Tier 2: same place and house, similar name and relation, ages near, genders not contradictory. Tier 3: same
-    folded name and relation, ages near. Tier 4: same phonetic keys, ages nearer. Fuzzy tests run on blocked pairs only.
+    Tier 1: same id. Tier 2: same place and house, similar name and relation, ages near. Tier 3: same
+    folded name and relation, ages near. Tier 4: same phonetic keys, similar first name, ages nearer. Genders may not contradict
+    (tiers 2 to 4); an age of null or 0 is near any, a null gender agrees with any, null places are one.
+
+    Rows of equal values are linked to the one of the least id, which meets others in their place; a pair is judged in the order of
+    these ids. Tier 2 doesn't compare all rows of a house: similar first names are found among the distinct first names of all (segment
+    index, see nearjoin), and rows meet by house and first name, a similar first name, or its phonetic key.
     """
     p = people.withColumns({
         "__n": T.fold_devanagari("name"), "__r": T.fold_devanagari("relation"), "__c": F.upper(F.trim("code")), "__h": T.compact_house(F.col("house")),
+        "place": F.coalesce("place", F.lit("")),
     })
-    p = p.withColumns({"__np": T.phonetic_key(F.col("__n")), "__rp": T.phonetic_key(F.col("__r")), "__f": T.core_first_name(F.col("__n"))})
+    p = p.withColumns({"__np": T.phonetic_key(F.col("__n")), "__rp": T.phonetic_key(F.col("__r")), "__f": F.replace(T.core_first_name(F.col("__n")), F.lit(" "), F.lit(""))})
     p = p.withColumn("__fp", T.phonetic_key(F.col("__f")))
     near = lambda t: ~F.coalesce((F.col("x_age") > 0) & (F.col("y_age") > 0) & (F.abs(F.col("x_age") - F.col("y_age")) > TIER_AGE[t]), F.lit(False))
     gender = F.col("x_gender").isNull() | F.col("y_gender").isNull() | (F.col("x_gender") == F.col("y_gender"))
-    carry = ["age", "gender", "__n", "__r", "__np", "__rp", "__f", "__fp"]
     first = matchers.first_names_match_udf("x___f", "y___f", "x___fp", "y___fp")
     names = matchers.names_match_udf("x___n", "y___n", "x___np", "y___np")
     relations = matchers.relations_match_udf("x___r", "y___r", "x___rp", "y___rp")
     ends = [F.col("x_id").alias("a"), F.col("y_id").alias("b")]
-    one = star_links(p.where(F.length("__c") >= 5), "id", ["__c"], 1)
-    two = blocked_pairs(p.where(~F.col("__h").isin("", "0", "00", "-", "na")), "id", ["place", "__h"], carry, near(2) & gender).where(first & names & relations)
-    three = blocked_pairs(p.where((F.col("__n") != "") & (F.length("__r") >= 2)), "id", ["place", "__n", "__r"], ["age", "__f", "__fp"], near(3)).where(first)
-    four = blocked_pairs(p.where((F.col("__np") != "") & (F.col("__rp") != "")), "id", ["place", "__np", "__rp"], ["age", "__f", "__fp"], near(4)).where(first)
-    parts = [one, *(x.select(*ends, F.lit(t).alias("tier")) for t, x in ((2, two), (3, three), (4, four)))]
+    parts = [star_links(p.where(F.length("__c") >= 5), "id", ["__c"], 1)]
+
+    own = ["age", "gender", "__n", "__r", "__np", "__rp", "__f", "__fp"]
+    housed = p.where(~F.col("__h").isin("", "0", "00", "-", "na") & (F.col("__f") != ""))
+    reps, copies = value_links(housed, "id", ["place", "__h", *own], 2)
+    reps = cut(reps, "housed")
+    similar = similar_first_names(reps.select("__f").distinct())
+    sided = lambda side: reps.select("place", "__h", *[F.col(c).alias(f"{side}_{c}") for c in ["id", *own]])
+    x, y = sided("x"), sided("y")
+    keyed = x.where(F.length("x___fp") >= matchers.LEAST_KEY)
+    met = [
+        x.withColumn("y___f", F.col("x___f")).join(y, ["place", "__h", "y___f"]),
+        x.join(similar.select(F.col("f").alias("x___f"), F.col("g").alias("y___f")), "x___f").join(y, ["place", "__h", "y___f"]),
+        keyed.withColumn("y___fp", F.col("x___fp")).join(y, ["place", "__h", "y___fp"]),
+    ]
+    columns = [f"{side}_{c}" for side in "xy" for c in ["id", *own]]
+    pairs = reduce(DataFrame.unionByName, [m.where((F.col("x_id") < F.col("y_id")) & near(2) & gender).select(*columns) for m in met]).dropDuplicates(["x_id", "y_id"])
+    parts += [copies, pairs.where(first & names & relations).select(*ends, F.lit(2).alias("tier"))]
+
+    named = p.where((F.col("__n") != "") & (F.length("__r") >= 2) & (F.col("__f") != ""))
+    reps, copies = value_links(named, "id", ["place", "__n", "__r", "age", "gender"], 3)
+    parts += [copies, blocked_pairs(reps, "id", ["place", "__n", "__r"], ["age", "gender"], near(3) & gender).select(*ends, F.lit(3).alias("tier"))]
+
+    sounding = p.where((F.col("__np") != "") & (F.length("__rp") >= 2) & (F.col("__f") != ""))
+    block = ["place", "__np", "__rp"]
+    reps, copies = value_links(sounding, "id", [*block, "__f", "__fp", "age", "gender"], 4)
+    parts += [copies, blocked_pairs(reps, "id", block, ["age", "gender", "__f", "__fp"], near(4) & gender).where(first).select(*ends, F.lit(4).alias("tier"))]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -115,6 +115,64 @@ def start_consensus(df: DataFrame, by: list[str], column: str, printed: str, exp
     return best.select(*by, F.coalesce(F.col("agreed.p"), F.when(near, F.col("zero")), expected).cast("long").alias("start"))
 
 
+# How far a first column's number may be from the running one, or above the formula; how far any column's may be from the running one.
+NEAR_FIRST, ABOVE_FORMULA, NEAR_ANY = 6, 10, 5
+
+
+def running_starts(pages: DataFrame, file: str, page: str, votes: str, count: str, formula: str) -> DataFrame:
+    """``pages`` with ``start``, the number each page begins with, and ``way``, how it was found; read in order of (file, page).
+
+    votes: array of struct<column, start>, what each column proposes (its printed number less its place), in order of columns. In turn: a positive start that two columns propose
+    (the first of these by order); the first column's, if positive, where it is at most NEAR_FIRST from the running number or at
+    most ABOVE_FORMULA above the page's ``formula``, or no number runs yet; any column's at most NEAR_ANY from the running number; that number; the formula, 1 at least.
+    The running number is the start of the page before plus its ``count``, and runs once it is above 1.
+
+    Pages that two columns settle, or the formula, don't depend on those before, so each begins a chain of its own; a long file is many chains.
+    """
+    sized = pages.withColumn("__some", F.filter(F.transform(votes, lambda v: v["start"]), lambda s: (s >= 1) & (F.size(F.filter(votes, lambda v: v["start"] == s)) >= 2)))
+    zero = F.filter(votes, lambda v: v["column"] == 0)
+    first = F.when(F.size(zero) > 0, zero[0]["start"])
+    alone = F.coalesce(F.element_at(F.when(F.size("__some") > 0, F.col("__some")), 1), F.when((first >= 1) & (first <= F.col(formula) + ABOVE_FORMULA), first))
+    marked = sized.withColumns({"__alone": alone, "__first": first})
+    chain = F.sum(F.col("__alone").isNotNull().cast("int")).over(Window.partitionBy(file).orderBy(page))
+    linked = marked.withColumn("__chain", chain)
+    kinds = dict(pages.dtypes)
+    schema = f"`{file}` {kinds[file]}, `{page}` {kinds[page]}, start long, way string"
+
+    def settle(own: int | None, first: int | None, votes: list[int], running: int, formula: int, agreed: bool) -> tuple[int, str]:
+        runs = running > 1
+        if agreed:
+            return own, "agreed"
+        if first is not None and first >= 1:
+            if runs and abs(first - running) <= NEAR_FIRST:
+                return first, "first"
+            if own is not None:
+                return own, "first"
+            if not runs:
+                return first, "first"
+        for v in votes if runs else ():
+            if abs(v - running) <= NEAR_ANY:
+                return v, "any, near"
+        return (running, "running") if runs else (max(1, formula), "formula")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, running = None, 0
+        for pdf in batches:
+            out = []
+            for f, p, link, own, first, votes_, agreed, n, form in pdf.itertuples(index=False):
+                if (f, link) != at:
+                    at, running = (f, link), 0
+                number = lambda x: None if pd.isna(x) else int(x)
+                start, way = settle(number(own), number(first), [int(v) for v in votes_], running, int(form), bool(agreed))
+                running = start + int(n)
+                out.append((f, p, start, way))
+            yield pd.DataFrame(out, columns=[file, page, "start", "way"])
+
+    plain = linked.select(file, page, "__chain", "__alone", "__first", F.transform(votes, lambda v: v["start"]).alias("__votes"), (F.size("__some") > 0).alias("__agreed"), count, formula)
+    dealt = plain.repartition(file, "__chain").sortWithinPartitions(file, "__chain", page)
+    return pages.join(dealt.mapInPandas(run, schema), [file, page])
+
+
 def text_rows(df: DataFrame, by: list[str], x: str, y: str, gap: float = 5.0) -> DataFrame:
     """Words grouped to rows: a word starts a row if it is ``gap`` or more below the running middle of the row before."""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -155,3 +155,20 @@ class Catalog:
     def frame(self) -> DataFrame:
         """The registry, active first, then default, then by name."""
         return self.spark.createDataFrame(self.rows, self.SCHEMA).orderBy(F.desc("is_active"), F.desc("is_default"), F.lower("name"))
+
+
+def write_observed(df: DataFrame, path: str, columns: list[str]) -> DataFrame:
+    """Write ``df`` to ``path`` as Parquet and return what was seen on the way: column, rows, nulls, low, high (as texts) of each of ``columns``.
+
+    The figures come with the write (observed metrics), not from another scan; they are kept beside the table, in ``path``-statistics.
+    """
+    seen = Observation()
+    metrics = [F.count(F.lit(1)).alias("rows")]
+    for n, c in enumerate(columns):
+        metrics += [F.count_if(F.col(c).isNull()).alias(f"nulls{n}"), F.min(c).cast("string").alias(f"low{n}"), F.max(c).cast("string").alias(f"high{n}")]
+    df.observe(seen, *metrics).write.parquet(path)
+    got = seen.get
+    rows = [(c, got["rows"], got[f"nulls{n}"], got[f"low{n}"], got[f"high{n}"]) for n, c in enumerate(columns)]
+    kept = f"{path.rstrip('/')}-statistics"
+    df.sparkSession.createDataFrame(rows, "column string, rows long, nulls long, low string, high string").coalesce(1).write.parquet(kept)
+    return df.sparkSession.read.parquet(kept)

@@ -103,8 +103,9 @@ def test_overlay_fallback_and_bands(spark):
     pts = spark.createDataFrame([("p", v) for v in range(0, 40, 3)], "g string, v int")
     got = joins.band_join(pts.withColumnRenamed("v", "a"), pts.withColumnRenamed("v", "b"), ["g"], "a", "b", 7)
     assert rows(got, "a", "b") == sorted([(a, b) for a in range(0, 40, 3) for b in range(0, 40, 3) if abs(a - b) <= 7], key=str)
-    with pytest.raises(ValueError, match="ranges"):
-        joins.range_lookup(base, "b", base, "k", "b", "k", "k", most=1)
+    ranges = base.select(F.col("k").alias("lo"), F.col("b").alias("hi"), F.col("k").alias("n"))
+    few, many = (joins.range_lookup(base.where("b IS NOT NULL"), "b", ranges, "lo", "hi", "n", "k", most=m) for m in (100, 1))  # more than ``most`` ranges: no error any more
+    assert rows(few, "k", "n") == rows(many, "k", "n")
 
 
 def test_duplicates_by_tier(spark):
