@@ -149,7 +149,7 @@ def deep_page(df: DataFrame, by: str, tie: str, number: int, size: int, descendi
     offset, total = (max(1, number) - 1) * max(1, size), df.count()
     known = df.where(F.col(by).isNotNull())
     order = [F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_last(), F.col(tie).asc()]
-    while total and slack < 1:
+    while offset < total and slack < 1:
         ends = [max(0.0, offset / total - slack), min(1.0, (offset + size) / total + slack)]
         low, high = known.approxQuantile(by, sorted(1 - e for e in ends) if descending else ends, slack / 2) or (None, None)
         if low is None:

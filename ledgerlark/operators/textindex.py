@@ -113,15 +113,16 @@ def build(rows: DataFrame, key: str, fields: dict[str, Column], folder: str) ->
     keyed = rows.withColumns(fields)
     texts = keyed.withColumn("slice", F.floor(F.col(key) / slices))
     texts.repartitionByRange(key).write.partitionBy("slice").parquet(f"{folder}/texts")
-    stored = keyed.sparkSession.read.parquet(f"{folder}/texts")
+    read = lambda name, like: keyed.sparkSession.read.schema(like.schema).parquet(f"{folder}/{name}")  # noqa: E731  an empty table has no file to tell its columns
+    stored = read("texts", texts)
     pairs = F.concat(*[_named(f) for f in fields])
     held = stored.select(F.floor(F.col(key) / CHUNK).alias("chunk"), key, F.explode(pairs).alias("p")).groupBy("p.field", "p.gram", "chunk")
     lists = held.agg(F.sort_array(F.collect_list(key)).alias("ids"))
     order = ["field", "gram", "chunk"]
     lists.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{folder}/postings")
-    sizes = keyed.sparkSession.read.parquet(f"{folder}/postings").groupBy("field", "gram").agg(F.sum(F.size("ids")).alias("n"))
+    sizes = read("postings", lists).groupBy("field", "gram").agg(F.sum(F.size("ids")).alias("n"))
     sizes.repartitionByRange("field", "gram").sortWithinPartitions("field", "gram").write.parquet(f"{folder}/grams")
-    return load(keyed.sparkSession, folder, key, slices)
+    return TextIndex(stored, read("postings", lists), read("grams", sizes), key, slices)
 
 
 def load(spark: SparkSession, folder: str, key: str, slices: int) -> TextIndex:

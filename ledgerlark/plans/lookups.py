@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import textkeys as T
-from ledgerlark.operators import dml, joins, nearjoin, predicates as P, resolve, sequences as S, textindex
+from ledgerlark.operators import dml, joins, lexicon, nearjoin, predicates as P, resolve, sequences as S, textindex
 from ledgerlark.plans.catalogue import register, t
 from ledgerlark.sources import readers
 
@@ -307,3 +307,42 @@ def running_page_starts(spark, folder):
     votes = lines.agg(F.min(off).alias("off")).groupBy("o_orderkey").agg(F.sort_array(F.collect_list(F.struct("column", "off"))).alias("offs"))
     seen = pages.join(votes, "o_orderkey", "left").withColumn("votes", F.coalesce(F.transform("offs", lambda v: F.struct(v["column"].alias("column"), (v["off"] + F.col("formula")).alias("start"))), F.array()))
     return S.running_starts(seen, "o_custkey", "page", "votes", "n", "formula").select("o_custkey", "page", "start")
+
+
+# ------------------------------------------------------------------ compounds and typos, over a lexicon of the documents themselves
+_WORDS = "SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[^\\x00-\\x60\\x7B-\\x7F]+')) AS w FROM documents) GROUP BY 1"
+
+
+@register(f"""
+WITH RECURSIVE c AS ({_WORDS}), l AS (SELECT word FROM c WHERE n >= 20 AND length(word) BETWEEN 3 AND 12),
+s AS (SELECT word FROM c WHERE n < 20 AND length(word) >= 6),
+p AS (
+  SELECT word, 0::BIGINT AS pos, []::VARCHAR[] AS pieces FROM s
+  UNION ALL
+  SELECT p.word, p.pos + length(l.word), list_append(pieces, l.word) FROM p JOIN l ON substr(p.word, p.pos + 1, 3) = substr(l.word, 1, 3) AND substr(p.word, p.pos + 1, length(l.word)) = l.word
+)
+SELECT word, array_to_string(pieces, '+') AS pieces FROM (SELECT word, pieces, row_number() OVER (PARTITION BY word ORDER BY len(pieces), pieces) AS n FROM p WHERE pos = length(word)) WHERE n = 1
+""")
+def compound_words(spark, folder):
+    """Rare words of the documents that frequent ones make up."""
+    counts = resolve.cut(lexicon.word_counts(t(spark, folder, "documents"), "text"), "word-counts")
+    found = lexicon.split_compounds(counts.where("n < 20"), counts.where("n >= 20 AND length(word) BETWEEN 3 AND 12"), 3, 12)
+    return found.select("word", F.array_join("pieces", "+").alias("pieces"))
+
+
+@register(f"""
+WITH c AS ({_WORDS}), l AS (SELECT * FROM c WHERE n >= 50 AND length(word) >= 4), s AS (SELECT word FROM c WHERE n = 1 AND length(word) >= 4),
+p AS (
+  SELECT s.word, l.word AS correction, l.n, length(s.word) - length(l.word) AS d, list_filter(range(1, length(s.word) + 1), lambda i: substr(s.word, i, 1) <> substr(l.word, i, 1)) AS off
+  FROM s JOIN l ON abs(length(s.word) - length(l.word)) <= 1 AND (left(s.word, 1) = left(l.word, 1) OR right(s.word, 1) = right(l.word, 1))
+), m AS (
+  SELECT word, correction, n FROM p WHERE CASE d
+    WHEN 0 THEN len(off) = 1 OR len(off) = 2 AND off[2] = off[1] + 1 AND substr(word, off[1], 1) = substr(correction, off[2], 1) AND substr(word, off[2], 1) = substr(correction, off[1], 1)
+    WHEN 1 THEN left(word, coalesce(off[1], length(word)) - 1) || substr(word, coalesce(off[1], length(word)) + 1) = correction
+    ELSE left(correction, coalesce(off[1], length(correction)) - 1) || substr(correction, coalesce(off[1], length(correction)) + 1) = word END)
+SELECT word, correction, n FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY n DESC, correction) AS k FROM m) WHERE k = 1
+""")
+def corrected_words(spark, folder):
+    """Words that occur once, one slip away from a frequent one."""
+    counts = resolve.cut(lexicon.word_counts(t(spark, folder, "documents"), "text"), "word-counts").where("length(word) >= 4")
+    return lexicon.correct(counts.where("n = 1"), counts.where("n >= 50"))
