@@ -111,7 +111,7 @@ SELECT item_id, doc_id, n_chars FROM q JOIN documents ON contains(lower(document
 def indexed_phrases_in_documents(spark, folder):
     """Every document that holds the first words of a benchmark text, for all benchmark texts at once."""
     docs = t(spark, folder, "documents").select("doc_id", "text", "n_chars")
-    index = textindex.build(docs.select("doc_id", "n_chars", "text"), "doc_id", {"text": F.lower("text")}, resolve.new_folder(spark, "text-index"))
+    index = textindex.build(docs.select("doc_id", "n_chars", "text"), "doc_id", {"text": F.lower("text")}, resolve.new_folder(spark, "text-index"), copy=False)
     start, size = (1 + F.col("item_id") % 3).cast("int"), (2 + F.col("item_id") % 40).cast("int")
     terms = t(spark, folder, "benchmark").select("item_id", F.lower(F.substring("text", start, size)).alias("term")).where(F.length("term") > 2)
     return index.search_many("text", terms, "term", ["item_id"]).select("item_id", "doc_id", "n_chars")
