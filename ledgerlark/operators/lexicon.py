@@ -1,6 +1,6 @@
 """A word lexicon learned from texts, splitting of compound words over it, and typo look-up by a deletes index.
 
-The lexicon is never sent to the tasks: pieces of words and variants of words meet it in equi-joins, on distinct words only.
+Pieces of words and variants of words meet the lexicon in equi-joins, on distinct words only. A lexicon of up to MOST_SENT words is sent to all tasks.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+MOST_SENT = 500_000
 #: What a word is: letters a to z and all characters beyond ASCII, in lower case.
 WORD = r"[^\x00-\x60\x7B-\x7F]+"
 
@@ -31,7 +32,9 @@ def split_compounds(words: DataFrame, lexicon: DataFrame, shortest: int, longest
     starts = F.explode(F.sequence(F.lit(0), F.length("word") - shortest))
     size = F.explode(F.sequence(F.lit(shortest), F.least(F.lit(longest), F.length("word") - F.col("at"))))
     parts = sized.withColumn("at", starts).withColumn("size", size).select("word", "at", F.col("word").substr(F.col("at") + 1, F.col("size")).alias("piece"))
-    edges = parts.join(lexicon.select(F.col("word").alias("piece")), "piece").where(F.col("piece") != F.col("word"))
+    known = lexicon.select(F.col("word").alias("piece"))
+    known = F.broadcast(known) if lexicon.limit(MOST_SENT + 1).count() <= MOST_SENT else known
+    edges = parts.join(known, "piece").where(F.col("piece") != F.col("word"))
     found = edges.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("at", "piece"))).alias("edges"))
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

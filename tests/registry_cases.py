@@ -1,7 +1,7 @@
-"""Registered queries over invented registry records: operators whose semantics hang on names, ids, houses and ages.
+"""Cases of invented registry records: operators whose semantics hang on names, ids, houses and ages.
 
-The driver's tables hold no such fields, so each query makes its few records itself, and its SQL states the rows they must give, worked
-out by hand from the rules (a wrong operator gives others).
+Each makes its few records itself, and its SQL states the rows they must give, worked out by hand from the rules (a wrong operator
+gives others). They are tests, not registered queries: those read the driver's tables.
 """
 
 from __future__ import annotations
@@ -14,10 +14,20 @@ from pyspark.sql import functions as F
 from ledgerlark.functions import matchers, records as R, textkeys as T
 from ledgerlark.operators import aggregates as A
 from ledgerlark.operators import dml, joins, predicates as P, quality, resolve, sequences as S
-from ledgerlark.plans.catalogue import register
 from ledgerlark.sources import readers
 
 
+QUERIES, ORACLE_SQL = {}, {}
+
+
+def register(sql: str):
+    def add(fn):
+        QUERIES[fn.__name__], ORACLE_SQL[fn.__name__] = fn, sql
+        return fn
+
+    return add
+
+
 def literal(value) -> str:
     if value is None:
         return "NULL"

@@ -9,6 +9,8 @@ import pytest
 
 from ledgerlark.plans import catalogue
 
+from . import registry_cases
+
 FOLDER = Path("/root/testdata/sf0.001")
 
 
@@ -33,6 +35,12 @@ def test_query(spark, name):
         assert sorted(got.columns) == sorted(want.columns) and normal(got) == normal(want)
 
 
+@pytest.mark.parametrize("name", registry_cases.QUERIES)
+def test_registry_case(spark, name):
+    got, want = registry_cases.QUERIES[name](spark, "").toPandas(), duckdb.sql(registry_cases.ORACLE_SQL[name]).df()
+    assert sorted(got.columns) == sorted(want.columns) and normal(got) == normal(want)
+
+
 @pytest.mark.skipif(not FOLDER.exists(), reason="needs the driver's tables")
 def test_candidates_are_counted_over_all_parts(spark):
     part = pd.read_parquet(FOLDER / "part.parquet")
