@@ -112,7 +112,9 @@ def is_sound(embedding: Column) -> Column:
 
 
 def scaled(embedding: Column, scale: int) -> Column:
-    return F.transform(embedding, lambda x: F.rint(x.cast("double") * scale - F.pmod(x.cast("double") * scale, F.lit(1.0))))
+    """floor(scale * x) of each component, as a double; from 2^62 on doubles are whole."""
+    whole = lambda y: F.when(F.abs(y) < 2.0**62, F.floor(y).cast("double")).otherwise(y)
+    return F.transform(embedding, lambda x: whole(x.cast("double") * scale))
 
 
 def _matrix(vectors: pd.Series, other: float) -> np.ndarray:

@@ -236,3 +236,14 @@ def test_recall_of_the_query(spark):
     want = brute([(i, v.tolist()) for i, v in zip(table["vec_id"].tolist(), table["embedding"], strict=True)], 10, 100)
     got = {(r["query_id"], r["vec_id"]) for r in queries.op13_posting_lists(spark, str(FOLDER)).collect()}
     assert len(got) == len(want) and sum((q, i) in got for q, _, i, _ in want) >= 0.9 * len(want)
+
+
+def test_scores_of_tiny_components(spark):
+    from ledgerlark.llm import topk
+
+    rows = [(0, [-1e-20, 1.0]), (50, [1.0, 1.0]), (7, [-1.0, 1.0]), (8, [1e300, 0.0]), (9, [-0.5 / 256, 2.0**-9])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {tuple(r)[0]: r["x"] for r in df.select("vec_id", topk.scaled(F.col("embedding"), 256).alias("x")).collect()}
+    assert got == {i: [float(math.floor(256 * x)) for x in v] for i, v in rows} and got[0][0] == -1.0
+    best = [(r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df.where("vec_id IN (0, 50, 7)"), k=5).where("query_id = 50").orderBy("rank").collect()]
+    assert best == [(1, 0, 65280), (2, 7, 0)]
