@@ -9,7 +9,7 @@ from ledgerlark.functions import textkeys as T
 from ledgerlark.operators import aggregates as A
 from ledgerlark.operators import dml, joins, predicates as P, quality, resolve
 from ledgerlark.plans.catalogue import register, t
-from ledgerlark.plans.lookups import folded_sql, phonetic_sql, pick, pick_sql, spelt
+from ledgerlark.plans.forms import SYLLABLES, folded_sql, phonetic_sql, pick, pick_sql, spelt
 from ledgerlark.sources import readers
 
 GENDERS = ("Female", "महिला", "other", "पुरुष", "M", " f. ", "तृतीय", "स्त्री")
@@ -145,8 +145,7 @@ def _list(df: DataFrame, key: str, p: str) -> DataFrame:
 
 
 def _list_sql(table: str, key: str) -> str:
-    syllables = ("ra", "mo", "hi", "su", "ni", "ka", "de", "vi", "pu", "ja")
-    word = lambda x: f"{pick_sql(syllables, x)} || {pick_sql(syllables, f'({x} // 10)')}"
+    word = lambda x: f"{pick_sql(SYLLABLES, x)} || {pick_sql(SYLLABLES, f'({x} // 10)')}"
     name = f"CASE WHEN {key} % 4 = 1 THEN replace({word(f'({key} % 90)')}, 'a', 'aa') ELSE {word(f'({key} % 90)')} END || ' ' || {pick_sql(('kumar', 'devi'), key)}"
     return f"SELECT {key} AS id, CASE WHEN {key} % 6 = 0 THEN 'ABC' || lpad(CAST({key} % 50 AS VARCHAR), 4, '0') END AS code, {folded_sql(name)} AS n, {folded_sql(word(f'({key} % 30 + 1)'))} AS r, {key} % 70 AS age FROM {table}"
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerlark.functions import textkeys as T
 from ledgerlark.operators import dml, joins, lexicon, nearjoin, predicates as P, resolve, sequences as S, textindex
 from ledgerlark.plans.catalogue import register, t
+from ledgerlark.plans.forms import folded_sql, phonetic_sql, pick, pick_sql, spelt
 from ledgerlark.sources import readers
 
 # Given names in pairs of spellings, and family names, picked by the digits of a key.
@@ -18,37 +19,6 @@ GIVEN = ("अरुण", "अरूण", "सुरेश", "सूरेश", "
 FAMILY = ("कुमार", "कूमार", "देवी", "लाल", "वर्मा", "बर्मा", "ज्ञानी")
 
 
-def pick(words: tuple[str, ...], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(w) for w in words]), (index % len(words) + 1).cast("int"))
-
-
-def pick_sql(words: tuple[str, ...], index: str) -> str:
-    return f"[{', '.join(repr(w) for w in words)}][{index} % {len(words)} + 1]"
-
-
-def folded_sql(text: str) -> str:
-    """fold_devanagari() in SQL."""
-    pairs = T.ALIKE_SIGNS | T.ALIKE_CONSONANTS
-    out = f"translate({text}, '{''.join(pairs)}{T.DROPPED_SIGNS}', '{''.join(pairs.values())}')"
-    for old, new in T.CONJUNCTS:
-        out = f"replace({out}, '{old}', '{new}')"
-    return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
-
-
-def phonetic_sql(rows: str, key: str, text: str) -> str:
-    """phonetic_key() of a text column as a subquery of (key, phonetic); rows whose text has no word are missing."""
-    latin = f"translate(lower({text}), '{''.join(T.SOUNDS)}', '{''.join(T.SOUNDS.values())}')"
-    latin = f"regexp_replace(regexp_replace(regexp_replace({latin}, '[चछ]', 'ch', 'g'), 'ऋ', 'ri', 'g'), '[^a-z\\s]', '', 'g')"
-    word = "regexp_replace(" * len(T.DIGRAPHS) + "w" + "".join(f", '{a}', '{b}', 'g')" for a, b in T.DIGRAPHS)
-    letters, classes = "".join(T.SOUND_CLASSES.values()), "".join(k * len(v) for k, v in T.SOUND_CLASSES.items())
-    return f"""(
-  SELECT {key}, string_agg(left(k, 1) || replace(substring(k, 2), 'V', ''), ' ' ORDER BY i) AS phonetic FROM (
-    SELECT {key}, i, list_reduce(list_prepend('', string_split(translate(regexp_replace({word}, '^[aeiouy]', 'A'), '{letters}aeiouyfx', '{classes}VVVVVV'), '')),
-           lambda x, y: CASE WHEN right(x, 1) = y THEN x ELSE x || y END) AS k
-    FROM (SELECT {key}, generate_subscripts(l, 1) AS i, unnest(l) AS w FROM (SELECT {key}, string_split(trim(regexp_replace({latin}, '\\s+', ' ', 'g')), ' ') AS l FROM {rows})) WHERE w <> ''
-  ) GROUP BY {key})"""
-
-
 # ------------------------------------------------------------------ search by index
 FIELDS = ("exact", "folded", "sound")
 
@@ -138,14 +108,6 @@ def near_customer_names(spark, folder):
     return nearjoin.near_pairs(t(spark, folder, "customer").select("c_name").distinct(), "c_name", [], 1)
 
 
-SYLLABLES = ("ra", "mo", "hi", "su", "ni", "ka", "de", "vi", "pu", "ja")
-
-
-def spelt(number: Column, digits: int) -> Column:
-    """A made-up word, one syllable a digit."""
-    return F.concat(*[pick(SYLLABLES, F.floor(number / 10**k)) for k in range(digits)])
-
-
 def people(spark: SparkSession, folder: str) -> DataFrame:
     """People out of customers: neighbouring keys share a name, a relation and a house, which every few rows spell or state otherwise."""
     k, base = F.col("c_custkey"), F.floor(F.col("c_custkey") / 3)
