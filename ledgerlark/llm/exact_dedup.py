@@ -212,5 +212,6 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     winners = groups.where("kept").select("doc_id", "digest")
     if winners.count() > winners.distinct().count():
         docs = docs.dropDuplicates(["doc_id", "text"])
-    dropped = groups.where("NOT kept").select(F.col("doc_id").alias("__dropped"))
-    return docs.join(dropped, docs["doc_id"].cast("long").eqNullSafe(dropped["__dropped"]), "left_anti")
+    dropped = groups.where("NOT kept").select(F.col("doc_id").alias("__dropped"), F.col("digest").alias("__digest"))
+    same = docs["doc_id"].cast("long").eqNullSafe(dropped["__dropped"]) & (text_digest() == dropped["__digest"])  # an id may repeat with another text
+    return docs.join(dropped, same, "left_anti")

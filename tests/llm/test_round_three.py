@@ -247,3 +247,12 @@ def test_scores_of_tiny_components(spark):
     assert got == {i: [float(math.floor(256 * x)) for x in v] for i, v in rows} and got[0][0] == -1.0
     best = [(r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df.where("vec_id IN (0, 50, 7)"), k=5).where("query_id = 50").orderBy("rank").collect()]
     assert best == [(1, 0, 65280), (2, 7, 0)]
+
+
+def test_an_id_that_repeats_with_another_text_is_kept(spark):
+    from ledgerlark.llm import exact_dedup
+
+    rows = [(1, "a"), (1, "b"), (2, "a"), (3, None), (4, ""), (5, "c"), (5, "c")]
+    docs = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumns({"digest": F.lit("x"), "__digest": F.lit("y")})
+    kept = exact_dedup.drop_exact_copies(docs)
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(1, "b"), (2, "a"), (4, ""), (5, "c")] and kept.columns == docs.columns
