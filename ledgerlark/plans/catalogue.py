@@ -325,7 +325,10 @@ def multi_key_blocking(spark, folder):
     return joins.multi_key_candidates(x, y, "a", "b", F.col("x"), F.col("y")).where("a < b")
 
 
-@register()
+@register("""
+WITH k AS (SELECT p_partkey, list_concat([lower(p_brand), lower(p_type)], string_split(lower(p_name), ' ')) AS k FROM part)
+SELECT a.p_partkey, count(b.p_partkey) AS candidates FROM k a LEFT JOIN k b ON a.p_partkey <> b.p_partkey AND list_has_any(a.k, b.k) GROUP BY 1
+""")
 def multi_key_candidate_counts(spark, folder):
     """p_partkey, candidates: of every part, how many others share its brand, its type or a word of its name."""
     part = t(spark, folder, "part")
@@ -375,18 +378,52 @@ def renumber_broken_groups(spark, folder):
     return S.renumber_broken(rows, ["o_custkey"], ["o_orderkey"], "s")
 
 
-@register()
+@register("""
+WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, o_orderkey % 11 AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
+g AS (
+  SELECT o_custkey, o_orderkey, k, CASE WHEN n <= 0 THEN 1 ELSE n END AS s FROM o WHERE k = 1
+  UNION ALL
+  SELECT o.o_custkey, o.o_orderkey, o.k, CASE WHEN o.n <= greatest(g.s, 0) THEN greatest(g.s + 1, o.k) ELSE o.n END FROM g JOIN o ON o.o_custkey = g.o_custkey AND o.k = g.k + 1
+) SELECT o_custkey, o_orderkey, s FROM g
+""")
 def monotone_repair(spark, folder):
     rows = t(spark, folder, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 11).alias("s"))
     return S.map_sequence(rows, ["o_custkey"], ["o_orderkey"], "s", S.repair_monotone)
 
 
-@register()
+def _healed_sql(number: str) -> str:
+    return f"""
+WITH RECURSIVE o AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, n, lead(n) OVER w AS after, row_number() OVER w AS k FROM (SELECT *, {number} AS n FROM lineitem) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, n)
+), g AS (
+  SELECT l_orderkey, k, CASE WHEN h <= 0 AND before > 0 THEN before + 1 ELSE h END AS h FROM (
+    SELECT *, n - 1 AS before, CASE WHEN n - 1 > 50 AND n < n - 1 THEN 0 ELSE n END AS h FROM o WHERE k = 1)
+  UNION ALL
+  SELECT l_orderkey, k, CASE WHEN h <= 0 AND before > 0 THEN before + 1 ELSE h END FROM (
+    SELECT o.l_orderkey, o.k, g.h AS before, CASE WHEN g.h > 50 AND n < g.h
+      THEN coalesce(list_filter(list_transform(range(1, 11), lambda b: n + 100 * b), lambda c: abs(c - g.h - 1) <= 1 OR coalesce(after, 0) <> 0 AND abs(after - 1 - c) <= 1)[1], n) ELSE n END AS h
+    FROM g JOIN o ON o.l_orderkey = g.l_orderkey AND o.k = g.k + 1)
+), s AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN h > 0 THEN h ELSE 999999 END, k) AS place FROM g)
+SELECT o.l_orderkey, l_linenumber, l_partkey, s.h AS s FROM o JOIN s ON s.l_orderkey = o.l_orderkey AND s.place = o.k
+"""
+
+
+@register(_healed_sql("l_linenumber % 5"))
 def heal_serials(spark, folder):
     rows = t(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_linenumber") % 5).alias("s"))
     return S.map_sequence(rows, ["l_orderkey"], ["l_linenumber", "l_partkey"], "s", S.heal_serials, resort=True)
 
 
+_LOST = "CASE (l_partkey + l_linenumber) % 5 WHEN 0 THEN l_linenumber + 20 WHEN 1 THEN 0 ELSE l_linenumber + 120 + l_orderkey % 4 * 100 END"
+
+
+@register(_healed_sql(_LOST))
+def heal_lost_hundreds(spark, folder):
+    """Serials of which every fifth lost its hundreds and every fifth is unread."""
+    rows = t(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.expr(_LOST).cast("long").alias("s"))
+    return S.map_sequence(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "s"], "s", S.heal_serials, resort=True)
+
+
 @register("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text, lang ORDER BY doc_id) AS k FROM documents) WHERE k = 1")
 def first_occurrence_dedup(spark, folder):
     docs = t(spark, folder, "documents").select("doc_id", F.sha2("text", 256).alias("text"), "lang")
@@ -581,7 +618,12 @@ def pending_status_counts(spark, folder):
     return dml.pending_counts(t(spark, folder, "events").select(status.alias("status")))
 
 
-@register()
+@register("""
+WITH n AS (SELECT d.doc_id AS id, d.text, CAST(l.quality AS VARCHAR) AS label, min(d.doc_id) OVER (PARTITION BY d.text) AS hub FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+g AS (SELECT *, max(label) FILTER (id = hub) OVER (PARTITION BY text) AS own, min(label) FILTER (id <> hub) OVER (PARTITION BY text) AS other FROM n)
+SELECT id, coalesce(label, CASE WHEN id = hub THEN other ELSE coalesce(own, other) END) AS label,
+       CASE WHEN label IS NOT NULL THEN 0 WHEN id = hub AND other IS NOT NULL OR id <> hub AND own IS NOT NULL THEN 1 WHEN id <> hub AND other IS NOT NULL THEN 2 END AS hops FROM g
+""")
 def label_propagation(spark, folder):
     docs = t(spark, folder, "documents").select("doc_id", F.sha2("text", 256).alias("text"))
     nodes = docs.join(t(spark, folder, "labels").select("doc_id", F.col("quality").cast("string").alias("label")), "doc_id", "left").withColumnRenamed("doc_id", "id")
