@@ -222,3 +222,35 @@ def test_chain_prefers_collinear_matches():
     pa, pb = np.array([0, 6, 12, 18, 6]), np.array([100, 106, 112, 118, 5])
     assert passages.chains(pa, pb)[0] == [0, 1, 2, 3]
     assert passages.common_words("a b c d".split(), "a x c d".split()) == 3
+
+
+def test_a_line_of_a_third_of_all_documents_is_not_compared_in_pairs(spark, monkeypatch):
+    """2,000 documents; 700 hold one line of 16 words, of these two a passage around it that neither the lowest nor the highest has."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    fresh = lambda n: " ".join(word() for _ in range(n))
+    line, before, after = fresh(16), fresh(20), fresh(20)
+    texts = [f"{fresh(30)} {line} {fresh(30)}" if k % 3 == 0 else fresh(60) for k in range(2000)]
+    for k in (300, 600):
+        texts[k] = f"{fresh(20)} {before} {line} {after} {fresh(20)}"
+    seen = []
+    made = passages.compared
+    monkeypatch.setattr(passages, "compared", lambda marked: seen.append(marked.groupBy("seed").count().selectExpr("sum(count * (count - 1) / 2)").first()[0] or 0) or made(marked))
+    out = passages.shared_passages(frame(spark, [(k, x, "en", "a", 1) for k, x in enumerate(texts)])).collect()
+    assert {(r["doc_id"], r["partner_id"]) for r in out} == {(300, 600), (600, 300)}
+    assert sum(seen) <= 2000 * passages.EASY
+
+
+def test_stretches_of_one_word_in_many_documents(spark):
+    """The lowest and highest documents hold a short stretch; long ones are linked with hubs of their own, short ones stay alone."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    fresh = lambda n: " ".join(word() for _ in range(n))
+    long = {*range(20, 60)}
+    rows = [(k, f"{fresh(10)} {'same ' * (60 + k if k in long else 20)}{fresh(10)}", "en", "a", 1) for k in range(150)]
+    out = passages.shared_passages(frame(spark, rows)).collect()
+    assert {r["doc_id"] for r in out} == long
+    forest = components.Forest()
+    for r in out:
+        forest.union(r["doc_id"], r["partner_id"])
+    assert {forest.find(x) for x in long} == {20}
