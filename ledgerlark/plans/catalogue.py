@@ -768,4 +768,4 @@ def fuzzy_name_matches(spark, folder):
     return pairs.select(F.col("x_n_name").alias("a"), F.col("y_n_name").alias("b")).withColumn("similarity", matchers.similarity_udf("a", "b")).where("similarity >= 0.5")
 
 
-from ledgerlark.plans import derived, lookups  # noqa: E402,F401 (they add their queries to the catalogue)
+from ledgerlark.plans import derived, lookups, surveys  # noqa: E402,F401 (they add their queries to the catalogue)
