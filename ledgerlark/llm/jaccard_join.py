@@ -48,6 +48,7 @@ from pyspark.sql import functions as F
 
 from .common import SENT_IDS, group_bounds, in_bounded_set, join_groups, materialise, mix64, shuffle_partitions
 from .components import connected_components
+from .exact_dedup import text_digest
 
 #: Documents a token may have to be indexed alone.
 FREQUENT = 32
@@ -427,6 +428,17 @@ def _link(docs: DataFrame, active: DataFrame, size: int, num: int, den: int) ->
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one document, that with the smallest doc_id, of each group; columns as they were."""
-    gone = jaccard_groups(docs, size, num, den).where("component_id <> doc_id").select(F.col("doc_id").alias("__dropped"))
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__dropped"], "left_anti")
+    """``docs`` with one document, that with the smallest doc_id, of each group; columns as they were.
+
+    Of rows that share a doc_id but not the text, those of the least text digest take part under that id; the others stay, as nothing tells
+    which of them another document is a copy of.
+    """
+    told = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("__doc"), text_digest().alias("__digest"))
+    texts = told.groupBy("__doc").agg(F.min("__digest").alias("__digest"), F.max("__digest").alias("__other")).where("__digest <> __other").drop("__other")
+    texts = materialise(texts, "repeated-ids")
+    same_id = docs["doc_id"].cast("long") == texts["__doc"]
+    named = docs if texts.isEmpty() else docs.join(texts, same_id & (text_digest() != texts["__digest"]), "left_anti")
+    gone = jaccard_groups(named, size, num, den).where("component_id <> doc_id").select(F.col("doc_id").alias("__dropped")).distinct()
+    gone = gone.join(texts, gone["__dropped"] == texts["__doc"], "left").select("__dropped", "__digest")
+    same = (docs["doc_id"].cast("long") == gone["__dropped"]) & F.coalesce(text_digest() == gone["__digest"], F.lit(True))
+    return docs.join(gone, same, "left_anti")

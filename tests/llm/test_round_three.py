@@ -256,3 +256,18 @@ def test_an_id_that_repeats_with_another_text_is_kept(spark):
     docs = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumns({"digest": F.lit("x"), "__digest": F.lit("y")})
     kept = exact_dedup.drop_exact_copies(docs)
     assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(1, "b"), (2, "a"), (4, ""), (5, "c")] and kept.columns == docs.columns
+
+
+def test_near_copies_of_an_id_that_repeats_with_another_text(spark):
+    from ledgerlark.llm import jaccard_join
+
+    words = [f"w{i}" for i in range(60)]
+    near, other = " ".join(words[:-1]), " ".join(f"x{i}" for i in range(40))
+    rows = [(1, " ".join(words)), (2, near), (2, other), (3, other + " y"), (4, None), (4, ""), (None, near)]
+    docs = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumns({"__digest": F.lit("y"), "__doc": F.lit(2)})
+    kept = jaccard_join.drop_near_copies(docs)
+    texts = sorted((str(r["doc_id"]), r["text"]) for r in kept.where("text <> ''").collect())
+    assert kept.columns == docs.columns and kept.where("doc_id = 4").count() == 2
+    for text in (" ".join(words), other):  # every text, or a near copy of it, is still there
+        assert any(text in t or t in text for _, t in texts)
+    assert ("1", " ".join(words)) in texts and ("None", near) in texts and len([t for t in texts if t[0] == "2"]) <= 2
