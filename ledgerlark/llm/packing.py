@@ -11,7 +11,8 @@ the corpus. NODES and STEPS bound the search for better solutions, never the com
 Placement. A piece's rank among the pieces of its length names its place in the solution: ranks come from counters each
 task keeps while it tokenises and a running total over (task, length), so no length is gathered in one task.
 
-Scale. Texts are read and tokenised once; ids are written as a table in the shared folder. What is sent to every task is the
+Scale. Texts are read and tokenised once; ids are written as a table in the shared folder, and only lengths and ranks go to
+Python again. What is sent to every task is the
 solution by length (some thousand rows at most, one pattern exhausts a length).
 
 Defined cases. Null and empty text is the single id 0. Very long texts are cut, never dropped. Repeated rows are packed
@@ -38,7 +39,8 @@ CAPACITY = 2048
 NODES, STEPS = 20_000, 400_000
 #: Fillings kept and looked at for one node.
 WIDTH, LOOK = 6, 1500
-CACHE_WORDS = 700_000
+#: Words of which a worker keeps the ids; a corpus has millions, most of them seen once.
+CACHE_WORDS = 200_000
 PIECES = "doc_id long, piece int, start long, length int, ids binary, task int, place long"
 
 Pattern = tuple[int, ...]
@@ -82,8 +84,6 @@ class Encoder:
         if self.odd.search(text):
             return self.word(text)
         first, *rest = text.split(" ")
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
         known, out = self.words, [self.word(first) if first else b""]
         out += map(known.get, rest)
         if None in out:
@@ -91,7 +91,9 @@ class Encoder:
                 if ids is None:
                     ids = known.get(w)
                     if ids is None:
-                        ids = known[w] = self.new_word(w)
+                        ids = self.new_word(w)
+                        if len(known) < CACHE_WORDS:  # the first words seen are the frequent ones, mostly
+                            known[w] = ids
                     out[at] = ids
         return b"".join(out)
 
@@ -103,7 +105,7 @@ class Encoder:
             if w[-1:] in (",", ".") and w[:-1].isalpha():
                 stem = self.words.get(w[:-1])
                 if stem is None:
-                    stem = self.words[w[:-1]] = array("I", self.one((" " + w[:-1]).encode())).tobytes()
+                    stem = array("I", self.one((" " + w[:-1]).encode())).tobytes()
                 return stem + self.stops[w[-1]]
         return self.word(" " + w)
 
@@ -306,19 +308,20 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark.catalog.dropTempView("__piece_counts")
     ranked = pieces.join(before, ["task", "length"]).withColumn("rank", F.col("before") + F.col("place"))
     ranked = ranked.drop("before", "task", "place")
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.drop("rank").schema) + ", sequence_id long, offset long"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # only lengths and ranks go to Python: ids of a batch would fill a worker
+    @F.pandas_udf("sequence_id long, offset long")
+    def placed(lengths: pd.Series, ranks: pd.Series) -> pd.DataFrame:
         table = sent.value
-        for pdf in batches:
-            sequence, offset = np.empty(len(pdf), dtype=np.int64), np.empty(len(pdf), dtype=np.int64)
-            for length, part in pdf.groupby("length").indices.items():
-                first, each, base, offsets = table[int(length)]
-                rank = pdf["rank"].to_numpy()[part]
-                k = np.searchsorted(first, rank, side="right") - 1
-                nth = rank - first[k]
-                sequence[part] = base[k] + nth // each[k]
-                offset[part] = [offsets[i][j] for i, j in zip(k, nth % each[k], strict=True)]
-            yield pdf.drop(columns="rank").assign(sequence_id=sequence, offset=offset)
-
-    return ranked.mapInPandas(run, kind)
+        sequence, offset = np.empty(len(ranks), dtype=np.int64), np.empty(len(ranks), dtype=np.int64)
+        for length, part in lengths.groupby(lengths).indices.items():
+            first, each, base, offsets = table[int(length)]
+            rank = ranks.to_numpy()[part]
+            k = np.searchsorted(first, rank, side="right") - 1
+            nth = rank - first[k]
+            sequence[part] = base[k] + nth // each[k]
+            offset[part] = [offsets[i][j] for i, j in zip(k, nth % each[k], strict=True)]
+        return pd.DataFrame({"sequence_id": sequence, "offset": offset})
+
+    at = ranked.withColumn("placed", placed("length", "rank"))
+    return at.select(*(c for c in ranked.columns if c != "rank"), "placed.sequence_id", "placed.offset")
