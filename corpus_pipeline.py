@@ -2,39 +2,56 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's docs. All but
 the last return the columns of documents. Nulls, empty texts, repeated rows and empty tables are treated as each
-operator's docstring says; extra columns go along to the last stage.
+operator's docstring says; extra columns go along to the last stage. Stages bound the session's Arrow batches by bytes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.llm import exact_dedup, jaccard_join, language_id, mixing, packing
-from ledgerlark.llm.common import materialise
+from ledgerlark.llm.common import bound_batches, materialise
 from ledgerlark.llm.queries import make_encoder
 
 
+def in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@in_small_batches
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told (null text or no letter) go."""
     return language_id.drop_unidentified(docs)
 
 
+@in_small_batches
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest doc_id stays."""
     return exact_dedup.drop_exact_copies(docs)
 
 
+@in_small_batches
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked at a Jaccard similarity of 0.8 of five-word shingles the document with the smallest doc_id stays."""
     return jaccard_join.drop_near_copies(docs)
 
 
+@in_small_batches
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are mixed to their target weights: a document is left out, stays, or is repeated."""
     return mixing.apply_mix(docs)
 
 
+@in_small_batches
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents become pieces in sequences of 2048 tokens."""
     pieces = packing.pack(docs, make_encoder)
