@@ -148,7 +148,7 @@ def _predicate_paths(starts: DataFrame, bulk: DataFrame, match_on: str) -> DataF
 def replay_edits(df: DataFrame, edits: DataFrame, key: str, match_on: str, columns: list[str]) -> DataFrame:
     """``df`` after all approved edits, as if each had been applied to the rows as they were then, in the order of edit_id.
 
-    edits: edit_id (unique), action, target_id, match, proposed (map of texts), status. UPDATE sets the proposed fields of its target, null too;
+    edits: edit_id (unique, but for a BULK edit, which comes before the other edits of its number), action, target_id, match, proposed (map of texts), status. UPDATE sets the proposed fields of its target, null too;
     DELETE removes it for good; ADD inserts a row of the proposed fields; BULK sets the proposed fields, blank ones aside, of all rows whose
     ``match_on`` equals ``match`` at that time, rows added before included, and may change ``match_on`` itself. Values that don't fit their column's type become null.
     Only ``columns`` change, ``match_on`` should be among them. Added rows are met by BULK edits only. ``key`` is unique; unknown targets are ignored.
@@ -170,19 +170,20 @@ def replay_edits(df: DataFrame, edits: DataFrame, key: str, match_on: str, colum
     part = F.col(match_on).cast("string")
     starts = rows.select(part.alias("part"), F.col("__since").alias("since")).unionByName(turns.select("part", "since")).where("part IS NOT NULL").distinct()
     paths = cut(_predicate_paths(cut(starts, "edit-starts"), cut(bulk, "bulk-edits"), match_on), "edit-logs")
-    later = turns.join(paths, ["part", "since"]).select("target_id", "until", F.explode("log").alias("e")).where(F.col("until").isNull() | (F.col("e.edit_id") < F.col("until")))
+    later = turns.join(paths, ["part", "since"]).select("target_id", "until", F.explode("log").alias("e")).where(F.col("until").isNull() | (F.col("e.edit_id") <= F.col("until")))
     later = later.select("target_id", F.col("e.edit_id").alias("edit_id"), F.inline("e.proposed_").alias("field", "value"))
-    last = sets.unionByName(later).groupBy("target_id", "field").agg(F.max(F.struct("edit_id", "value")).alias("w"))
+    both = sets.withColumn("own", F.lit(True)).unionByName(later.withColumn("own", F.lit(False)))
+    last = both.groupBy("target_id", "field").agg(F.max(F.struct("edit_id", "own", "value")).alias("w"))
     by_key = last.groupBy(F.col("target_id").alias("__key")).agg(F.map_from_entries(F.collect_list(F.struct("field", "w"))).alias("__last"))
     by_key = by_key.join(turns.groupBy(F.col("target_id").alias("__key")).agg(F.min("since").alias("__turn")), "__key", "left")
     met = rows.join(by_key, "__key", "left").join(paths.withColumnsRenamed({"part": "__part", "since": "__from", "log": "__log"}), (part == F.col("__part")) & (F.col("__since") == F.col("__from")), "left")
-    met = met.withColumn("__log", F.filter("__log", lambda e: F.col("__turn").isNull() | (e["edit_id"] < F.col("__turn"))))
+    met = met.withColumn("__log", F.filter("__log", lambda e: F.col("__turn").isNull() | (e["edit_id"] <= F.col("__turn"))))
 
     def newest(column: str) -> Column:
         wrote = F.filter(F.transform("__log", lambda e: F.struct(e["edit_id"].alias("edit_id"), _proposed(e["proposed_"], column).alias("value"))), lambda e: e["value"].isNotNull())
         way = F.try_element_at(wrote, F.lit(-1))
         own = F.try_element_at("__last", F.lit(column))
-        mine = F.coalesce(own["edit_id"] > way["edit_id"], own.isNotNull())
+        mine = F.coalesce(own["edit_id"] >= way["edit_id"], own.isNotNull())
         value = F.when(mine, own["value"]).otherwise(way["value"])
         return F.when(own.isNull() & way.isNull(), F.col(column)).otherwise(value.try_cast(df.schema[column].dataType))
 

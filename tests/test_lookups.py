@@ -114,6 +114,22 @@ def test_replay_of_random_logs(spark, seed):
     assert dml.replay_edits(df, log.limit(0), "id", "part", ["part", "name"]).count() == 40
 
 
+@pytest.mark.parametrize("seed", [5, 6])
+def test_replay_where_edits_share_numbers(spark, seed):
+    """A BULK edit and the edits of single rows of its number: the BULK edit comes first, and none is lost."""
+    rng = random.Random(seed)
+    rows = [(k, rng.choice("ABC"), f"n{k}", str(k)) for k in range(30)]
+    edits = []
+    for n in range(1, 60, 2):
+        fields = lambda: {k: v for k, v in (("part", rng.choice("ABCD")), ("name", f"e{rng.random()}"), ("age", str(rng.randrange(99)))) if rng.random() < 0.4}
+        edits.append((n, "BULK", None, rng.choice("ABCD"), fields(), "approved"))
+        edits += [(n, "UPDATE", k, None, fields(), "approved") for k in rng.sample(range(30), 4)]
+    df = spark.createDataFrame(rows, "id long, part string, name string, age string")
+    log = spark.createDataFrame(edits, "edit_id long, action string, target_id long, match string, proposed map<string,string>, status string")
+    got = dml.replay_edits(df, log, "id", "part", ["part", "name", "age"]).collect()
+    assert sorted(tuple(str(r[c]) for c in ("id", "part", "name", "age")) for r in got) == replayed(rows, edits, ["id", "part", "name", "age"])
+
+
 def test_deep_pages(spark):
     rng = random.Random(8)
     rows = [(k, rng.choice((None, 1.0, 7.5, rng.random() * 100))) for k in range(500)]
