@@ -166,16 +166,17 @@ def multi_key_candidates(left: DataFrame, right: DataFrame, left_id: str, right_
 def multi_key_counts(df: DataFrame, key: str, keys: Column) -> DataFrame:
     """``key``, candidates: how many other rows share any of a row's keys (an array, few a row; ``key`` is unique).
 
-    Counted by inclusion and exclusion over the subsets of a row's keys, so rows are 2 to the number of keys a row and no pair is made.
+    Counted by inclusion and exclusion over the subsets of a row's keys, so no pair is made. Rows of the same keys are counted as one kind;
+    kinds make 2 to the number of their keys rows, which the planner can't foresee, so none of these joins may become a broadcast.
     """
-    subsets = F.aggregate(
-        F.array_sort(F.array_distinct(F.filter(keys, lambda k: k.isNotNull()))), F.array(F.array().cast("array<string>")), lambda have, k: F.concat(have, F.transform(have, lambda s: F.array_append(s, k)))
-    )
-    rows = df.select(key, F.explode(subsets).alias("s")).where(F.size("s") > 0)
-    sizes = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    own = df.select(key, F.array_sort(F.array_distinct(F.filter(keys, lambda k: k.isNotNull()))).alias("kind"))
+    kinds = own.where("kind IS NOT NULL").groupBy("kind").agg(F.count(F.lit(1)).alias("many"))
+    subsets = F.aggregate("kind", F.array(F.array().cast("array<string>")), lambda have, k: F.concat(have, F.transform(have, lambda s: F.array_append(s, k))))
+    rows = kinds.select("kind", "many", F.explode(subsets).alias("s")).where(F.size("s") > 0)
+    sizes = rows.groupBy("s").agg(F.sum("many").alias("n"))
     signed = F.when(F.size("s") % 2 == 1, F.col("n") - 1).otherwise(1 - F.col("n"))
-    found = rows.join(sizes, "s").groupBy(key).agg(F.sum(signed).alias("candidates"))
-    return df.select(key).join(found, key, "left").na.fill(0, ["candidates"])
+    found = rows.drop("many").hint("merge").join(sizes.hint("merge"), "s").groupBy("kind").agg(F.sum(signed).alias("candidates"))
+    return own.join(found.hint("merge"), "kind", "left").select(key, F.coalesce("candidates", F.lit(0).cast("long")).alias("candidates"))
 
 
 def existing(df: DataFrame, keys: DataFrame, on: list[str], present: bool = True) -> DataFrame:

@@ -238,3 +238,14 @@ def test_aggregates(spark):
     assert rows(df.groupBy("g").agg(A.valid_mean(F.col("v"), F.col("v") > 1).alias("m")), "g", "m") == [("a", 2.0), ("b", None)]
     new = A.next_numbers(df.select("g", F.lit(None).cast("long").alias("n"), "v"), spark.createDataFrame([("a", 7)], "g string, n long"), ["g"], "n", ["v"])
     assert rows(new, "g", "n") == [("a", 10), ("a", 8), ("a", 9), ("b", 1)]
+
+
+def test_shared_keys_are_counted_without_broadcasts(spark, tmp_path):
+    """Subsets of keys are many more rows than the table that the planner knows, so none of them may be sent whole."""
+    own = [["a"], ["a"], ["a", "b"], ["b", "c", "b"], ["c", None], [], [None], None, ["d"], ["a", "b", "c", "d"]]
+    spark.createDataFrame(list(enumerate(own)), "id long, k array<string>").write.parquet(str(tmp_path / "own"))
+    df = spark.read.parquet(str(tmp_path / "own"))
+    got = joins.multi_key_counts(df, "id", F.col("k"))
+    sets = [{w for w in k or [] if w} for k in own]
+    assert rows(got, "id", "candidates") == sorted(((i, sum(i != j and bool(x & y) for j, y in enumerate(sets))) for i, x in enumerate(sets)), key=str)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
