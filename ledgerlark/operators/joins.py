@@ -156,11 +156,32 @@ def blocked_pairs(df: DataFrame, key: str, block: list[str], carry: list[str], c
     return x.join(y, block).where((F.col(f"x_{key}") < F.col(f"y_{key}")) & condition)
 
 
-def multi_key_candidates(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_keys: Column, right_keys: Column) -> DataFrame:
-    """Distinct candidate pairs that share any of their keys (arrays)."""
-    x = left.select(left_id, F.explode(F.array_distinct(left_keys)).alias("k"))
-    y = right.select(right_id, F.explode(F.array_distinct(right_keys)).alias("k"))
-    return x.join(y, "k").select(left_id, right_id).distinct()
+def multi_key_candidates(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_keys: Column, right_keys: Column, block: int = 8192) -> DataFrame:
+    """Distinct candidate pairs that share any of their keys (arrays of texts).
+
+    A pair is made once, under the first key that both have, so pairs need no shuffle to be told apart. The rows of a frequent key are dealt into
+    blocks of about ``block`` that meet each other. How many rows keys make the planner can't foresee, so none of these joins may become a broadcast.
+    """
+
+    def keyed(df: DataFrame, id_: str, keys: Column, side: str) -> DataFrame:
+        every = F.array_sort(F.array_distinct(F.filter(F.flatten(F.collect_list("k")), lambda k: k.isNotNull())))
+        own = df.select(id_, keys.alias("k")).groupBy(id_).agg(every.alias("k")).select(id_, "k", F.posexplode("k").alias("at", "key"))
+        before = F.slice("k", F.lit(1), F.col("at")).alias(f"before_{side}")
+        bits = F.expr(f"aggregate(before_{side}, 0L, (m, k) -> m | shiftleft(1L, cast(pmod(xxhash64(k), 64L) AS int)))")
+        return own.select(id_, "key", before).withColumn(f"bits_{side}", bits)
+
+    x, y = keyed(left, left_id, left_keys, "x"), keyed(right, right_id, right_keys, "y")
+    blocks = lambda df, side: df.groupBy("key").agg(F.expr(f"int(1 + count(1) div {block})").alias(f"n_{side}"))
+    both = blocks(x, "x").hint("merge").join(blocks(y, "y").hint("merge"), "key").hint("merge")
+    own = lambda id_, n: F.pmod(F.xxhash64(id_), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = x.hint("merge").join(both, "key").withColumn("block_x", own(left_id, "n_x")).withColumn("block_y", each("n_y")).drop("n_x", "n_y")
+    y = y.hint("merge").join(both, "key").withColumn("block_y", own(right_id, "n_y")).withColumn("block_x", each("n_x")).drop("n_x", "n_y")
+    first = (F.col("bits_x").bitwiseAND(F.col("bits_y")) == 0) | ~F.arrays_overlap("before_x", "before_y")
+    # a number of partitions is given, since few bytes of keys make many pairs and would be put together
+    spark, met = left.sparkSession, ["key", "block_x", "block_y"]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return x.repartition(parts, *met).hint("merge").join(y.repartition(parts, *met).hint("merge"), met).where(first).select(left_id, right_id)
 
 
 def multi_key_counts(df: DataFrame, key: str, keys: Column) -> DataFrame:

@@ -249,3 +249,15 @@ def test_shared_keys_are_counted_without_broadcasts(spark, tmp_path):
     sets = [{w for w in k or [] if w} for k in own]
     assert rows(got, "id", "candidates") == sorted(((i, sum(i != j and bool(x & y) for j, y in enumerate(sets))) for i, x in enumerate(sets)), key=str)
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_candidate_pairs_are_made_once(spark):
+    """Pairs that share several keys, frequent keys in blocks: no pair is shuffled to be told apart."""
+    left = [(k, ["all", f"m{k % 3}", f"n{k % 5}", None][: k % 5]) for k in range(90)] + [(7, ["n1", "odd"]), (200, None), (201, []), (None, ["odd"])]
+    right = [(k, [f"n{k % 7}", "all", f"m{k % 2}", "all"][: k % 5]) for k in range(60)] + [(300, ["odd", "n1"]), (301, [None])]
+    schema = "i long, k array<string>"
+    x, y = spark.createDataFrame(left, schema).toDF("a", "x"), spark.createDataFrame(right, schema).toDF("b", "y")
+    got = joins.multi_key_candidates(x, y, "a", "b", F.col("x"), F.col("y"), block=8)
+    want = {(a, b) for a, x in left for b, y in right if set(x or []) & set(y) - {None}}
+    assert rows(got, "a", "b") == sorted(want, key=str) and (7, 300) in want
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[0]
